@@ -18,6 +18,7 @@ from chatloom.functions.times import micros, seconds_between
 from chatloom.operators.neighbors import BLOCK_ROWS, _distances, _matrix, label_distance_sums
 from chatloom.operators.ordering import with_rank
 from chatloom.schema import SUPER_CLUSTER_MEASURES
+from chatloom.session import cut_lineage
 
 # Numbers a centroid table may hold to be sent to every task (32 MB of doubles).
 CENTROID_LIMIT = 4_000_000
@@ -201,6 +202,7 @@ def label_points_over_time(prepared: DataFrame, terms: DataFrame) -> DataFrame:
 
 def super_clusters(profile: DataFrame, k: int = 20, seed: int = 129, measures=SUPER_CLUSTER_MEASURES) -> DataFrame:
     """Adds ``km_labels`` from the scaled measures; missing measures count as 0."""
+    profile = cut_lineage(profile)  # one row per label; training passes over it many times
     filled = profile.select("labels", *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in measures])
     rows = VectorAssembler(inputCols=list(measures), outputCol="_raw").transform(filled)
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="_scaled").fit(rows)

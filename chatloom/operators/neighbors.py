@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -135,7 +136,7 @@ def nearest_neighbors(
         points = points.withColumn("vector", _unit(F.col("vector")))
     cells = build_cells(points.select("msg_id", "vector"), pivots, block_rows)
 
-    def own(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _matrix(pdf["vector"])
         reach = np.full(len(rows), np.inf)
         if len(rows) > k:
@@ -291,7 +292,7 @@ def label_distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS) -> Data
     left = spread.select("msg_id", "vector", F.col("_own").alias("here"), F.explode("_targets").alias("there"))
     right = spread.select("msg_id", "vector", F.explode("_targets").alias("here"), F.col("_own").alias("there"))
 
-    def add(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple[Any, ...], a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         total = _distances(_matrix(a["vector"]), _matrix(b["vector"])).sum(axis=1) if len(a) and len(b) else np.zeros(len(a))
         return pd.DataFrame({"msg_id": a["msg_id"].to_numpy(), "other": key[1], "total": total})
 
