@@ -63,11 +63,13 @@ def topic_term_counts(
     across = follow.filter(F.col("next").isNotNull()).groupBy(
         "labels", F.concat_ws(" ", "last", "next").alias("term")
     ).agg(F.count(F.lit(1)).alias("n"))
-    known = inner.select("term").distinct() if vocabulary is None else vocabulary.select("term")
+    both = inner.withColumn("_seen", F.lit(True)).unionByName(across.withColumn("_seen", F.lit(False)))
+    counts = both.groupBy("labels", "term").agg(F.sum("n").alias("n"), F.max("_seen").alias("_seen"))
     if vocabulary is not None:
-        inner = inner.join(known, "term", "left_semi")
-    across = across.join(known, "term", "left_semi")
-    return inner.unionByName(across).groupBy("labels", "term").agg(F.sum("n").alias("n"))
+        return counts.drop("_seen").join(vocabulary.select("term"), "term", "left_semi")
+    # a term has at most one row per topic here
+    known = F.max("_seen").over(Window.partitionBy("term"))
+    return counts.withColumn("_known", known).filter("_known").select("labels", "term", "n")
 
 
 def ctfidf(counts: DataFrame, seed_words: Sequence[str] = (), multiplier: float = 1.2) -> DataFrame:

@@ -12,12 +12,14 @@ from chatloom.functions.times import micros
 from chatloom.operators import clusters as C
 from chatloom.operators import neighbors as N
 from chatloom.operators import prepare as P
-from chatloom.operators import sampling, terms, timeline, tokens, vectors
+from chatloom.operators import sampling, terms, timeline, tokens, unigram, vectors
 from chatloom.operators import windows as W
 from chatloom.operators.profile import cluster_profile, describe_topics
+from chatloom.plans import jobs
 from chatloom.schema import SPECIAL_TOKENS
 from chatloom.session import ready
 from chatloom.sources import sample_chat as S
+from chatloom.sources import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -291,7 +293,7 @@ def time_feature(spark, sf_dir):
     rows = vectors.add_time_feature(clustered(spark, sf_dir), 600, 64)
     return rows.select(
         "msg_id", rounded("diff_published_datetime"), F.size("vector").alias("size"),
-        F.round(F.element_at("vector", -1), 6).alias("time_part"), F.round(F.element_at("vector", 64), 6).alias("last_part"),
+        F.element_at("vector", -1).alias("time_part"), F.round(F.element_at("vector", 64), 6).alias("last_part"),
     )
 
 
@@ -523,3 +525,43 @@ def timeline_pivot(spark, sf_dir):
 def period_rank(spark, sf_dir):
     ranks = timeline.period_ranks(timeline.timeline_long(race(spark, sf_dir)))
     return ranks.select(us("start_of_period"), "best_textual_description", "message_count", "rank")
+
+
+# ---- trained sub-word vocabulary
+
+
+@query
+def unigram_vocab(spark, sf_dir):
+    return unigram.train_vocabulary(cleaned(spark, sf_dir), 2_000)
+
+
+@query
+def encode_unigram(spark, sf_dir):
+    rows = cleaned(spark, sf_dir)
+    coded = unigram.encode_unigram(rows, unigram.train_vocabulary(rows, 2_000))
+    return coded.select("msg_id", joined("input_ids"), joined("tokens"), "message_tokenized_length")
+
+
+# ---- exports and the whole topic model
+
+
+@query
+def decimal_csv(spark, sf_dir):
+    rows = clustered(spark, sf_dir).select("msg_id", (F.col("message_length") / 4).alias("quarter"),
+                                           F.array("count_mention", "count_url").alias("counts"))
+    return writers.decimal_csv(rows)
+
+
+@query
+def cluster_report(spark, sf_dir):
+    rows = clustered(spark, sf_dir)
+    full = C.prepare_clusters(rows, C.silhouette_simplified(plane(rows)))
+    report = writers.cluster_report(full, terms.topic_term_counts(rows, stop_words()))
+    return report.select("order", "part", F.coalesce("msg_id", F.lit(-1)).alias("msg_id"), "line")
+
+
+@query
+def topic_model(spark, sf_dir):
+    rows = clustered(spark, sf_dir).drop("labels", "km_labels", "x", "y")
+    labelled, _ = jobs.topic_model(rows, 64, 600, 0.02)
+    return labelled.select("msg_id", "labels")

@@ -36,12 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input comes in fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw chat with ``msg_id``: see the module text."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("channel"))
     total = events.count()
     lines = (
-        table(spark, sf_dir, "documents")
+        spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
         .select("doc_id", F.posexplode(F.split("text", LINE_BREAK)).alias("pos", "line"))
         .filter(F.col("line") != "")
         .withColumn("msg_id", F.expr(MSG_ID))

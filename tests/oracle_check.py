@@ -41,9 +41,11 @@ def as_bag(columns, rows) -> Counter:
 
 def compare(frame, con, sql: str) -> str | None:
     """None where both sides give the same rows, otherwise what differs."""
+    start = time.time()
     result = con.execute(sql)
     columns = [d[0] for d in result.description]
     expected = as_bag(columns, result.fetchall())
+    compare.sql_seconds = time.time() - start
     if sorted(frame.columns) != sorted(columns):
         return f"columns {sorted(frame.columns)} != {sorted(columns)}"
     found = as_bag(frame.columns, [tuple(r) for r in frame.collect()])
@@ -79,7 +81,8 @@ def main() -> int:
         except Exception as error:  # report and go on with the next query
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None and not problem.startswith("rows only")
-        print(f"{name:26s} {time.time() - start:7.2f}s  {problem or 'ok'}", flush=True)
+        sql_seconds = getattr(compare, "sql_seconds", 0.0)
+        print(f"{name:26s} {time.time() - start:7.2f}s (SQL {sql_seconds:.2f}s)  {problem or 'ok'}", flush=True)
     return bad
 
 
