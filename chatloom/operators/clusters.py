@@ -80,15 +80,20 @@ def _against_centroids(points: DataFrame, centroids: DataFrame, kernel, schema:
     left = rows.withColumn("piece", text.seeded_hash(3, F.col("msg_id")) % pieces).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     )
-    right = centroids.withColumn("chunk", F.pmod(F.xxhash64("labels"), F.lit(chunks)).cast("int")).withColumn(
-        "piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pieces - 1).cast("bigint")))
+    right = centroids.select(
+        F.col("labels").alias("other"),
+        F.col("centroid").alias("mean"),
+        F.pmod(F.xxhash64("labels"), F.lit(chunks)).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pieces - 1).cast("bigint"))).alias("piece"),
     )
 
+    columns = [part.split()[0] for part in schema.split(", ")]
+
     def run_chunk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) and len(b):
-            ordered = b.sort_values("labels")
-            return kernel(a, ordered["labels"].to_numpy(), _matrix(ordered["centroid"]))
-        return pd.DataFrame()
+            ordered = b.sort_values("other")
+            return kernel(a, ordered["other"].to_numpy(), _matrix(ordered["mean"]))
+        return pd.DataFrame(columns=columns)
 
     place = ["piece", "chunk"]
     return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(run_chunk, schema)
@@ -207,7 +212,13 @@ def super_clusters(profile: DataFrame, k: int = 20, seed: int = 129, measures=SU
     rows = VectorAssembler(inputCols=list(measures), outputCol="_raw").transform(filled)
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="_scaled").fit(rows)
     scaled = scaler.transform(rows).select("labels", "_scaled")
-    model = KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="km_labels").fit(scaled)
+    different = scaled.groupBy(vector_to_array("_scaled").alias("_values")).agg(F.min("labels").alias("_first"))
+    if different.limit(k + 1).count() <= k:
+        # no more different profiles than groups: each is its own
+        alone = with_rank(different, ["_first"], "_id").select("_values", F.col("_id").cast("int").alias("km_labels"))
+        named = scaled.withColumn("_values", vector_to_array("_scaled")).join(alone, "_values")
+        return profile.join(named.select("labels", "km_labels"), "labels")
+    model = KMeans(k=k, seed=seed, initSteps=5, featuresCol="_scaled", predictionCol="km_labels").fit(scaled)
     return profile.join(model.transform(scaled).select("labels", "km_labels"), "labels")
 
 

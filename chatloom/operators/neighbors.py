@@ -113,7 +113,9 @@ def _meet(cells: Cells, visits: DataFrame, kernel, schema: str, block_rows: int)
     guests = visits.withColumn(
         "share", (seeded_hash(11, F.col("msg_id")) % F.get(share_table, F.col("cell"))).cast("int")
     ).withColumn("piece", F.explode(F.sequence(F.lit(0), F.get(piece_table, F.col("cell")) - 1)))
-    residents = cells.rows.select("msg_id", "vector", "cell", "piece").withColumn(
+    residents = cells.rows.select(
+        F.col("msg_id").alias("id"), F.col("vector").alias("point"), F.col("cell").alias("cell"), F.col("piece").alias("piece")
+    ).withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.get(share_table, F.col("cell")) - 1))
     )
     place = ["cell", "piece", "share"]
@@ -149,8 +151,8 @@ def nearest_neighbors(
     def search(guests: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
         found = pd.DataFrame({"msg_id": [], "near": []})
         if len(guests) and len(residents):
-            ids = residents["msg_id"].to_numpy()
-            gaps = _distances(_matrix(guests["vector"]), _matrix(residents["vector"]))
+            ids = residents["id"].to_numpy()
+            gaps = _distances(_matrix(guests["vector"]), _matrix(residents["point"]))
             gaps[guests["msg_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
             order = np.lexsort((np.broadcast_to(ids, gaps.shape), gaps), axis=1)[:, :k]
             near = [
@@ -203,9 +205,9 @@ def close_links(
     def link(guests: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[int, int]] = []
         if len(guests) and len(residents):
-            gaps = _distances(_matrix(guests["vector"]), _matrix(residents["vector"]))
+            gaps = _distances(_matrix(guests["vector"]), _matrix(residents["point"]))
             i, j = np.nonzero(gaps <= epsilon)
-            a, b = guests["msg_id"].to_numpy()[i], residents["msg_id"].to_numpy()[j]
+            a, b = guests["msg_id"].to_numpy()[i], residents["id"].to_numpy()[j]
             other = a != b
             kept = _spanning(a[other], b[other])
         return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
@@ -293,7 +295,7 @@ def label_distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS) -> Data
     right = spread.select("msg_id", "vector", F.explode("_targets").alias("here"), F.col("_own").alias("there"))
 
     def add(key: tuple[Any, ...], a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        total = _distances(_matrix(a["vector"]), _matrix(b["vector"])).sum(axis=1) if len(a) and len(b) else np.zeros(len(a))
+        total = _distances(_matrix(a["vector"]), _matrix(b["other"])).sum(axis=1) if len(a) and len(b) else np.zeros(len(a))
         return pd.DataFrame({"msg_id": a["msg_id"].to_numpy(), "other": key[1], "total": total})
 
     place = ["here.labels", "there.labels", "here.piece", "there.piece"]
@@ -301,7 +303,7 @@ def label_distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS) -> Data
     sums = (
         left.select("msg_id", "vector", *keys)
         .groupBy("la", "lb", "pa", "pb")
-        .cogroup(right.select("msg_id", "vector", *keys).groupBy("la", "lb", "pa", "pb"))
+        .cogroup(right.select(F.col("vector").alias("other"), *keys).groupBy("la", "lb", "pa", "pb"))
         .applyInPandas(add, "msg_id bigint, other int, total double")
     )
     return sums.groupBy("msg_id", "other").agg(F.sum("total").alias("total"))
