@@ -23,6 +23,7 @@ from chatloom.operators.ordering import with_rank
 from chatloom.session import cut_lineage
 
 BLOCK_ROWS = 4_096
+MAX_PIVOTS = 1_024
 _SLACK = 1e-9
 
 
@@ -58,8 +59,13 @@ def _unit(vector):
     return F.transform(vector, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
 
 
-def build_cells(points: DataFrame, pivots: int = 256, block_rows: int = BLOCK_ROWS, seed: int = 7) -> Cells:
-    """``points`` holds ``msg_id, vector``. The number of pivots bounds all that reaches the driver."""
+def build_cells(points: DataFrame, pivots: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = 7) -> Cells:
+    """``points`` holds ``msg_id, vector``. The number of pivots bounds all that reaches the driver.
+
+    Unless given, there is one pivot per 1,024 rows, at most ``MAX_PIVOTS``.
+    """
+    if pivots is None:
+        pivots = max(1, min(MAX_PIVOTS, points.count() // 1_024))
     drawn = points.withColumn("_draw", seeded_hash(seed, F.col("msg_id")))
     chosen = [row["vector"] for row in drawn.orderBy("_draw", "msg_id").limit(pivots).select("vector").collect()]
     centers = np.unique(np.asarray(chosen, dtype=np.float64), axis=0)
@@ -126,7 +132,7 @@ def nearest_neighbors(
     points: DataFrame,
     k: int = 15,
     metric: str = "cosine",
-    pivots: int = 256,
+    pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest other rows of each row: ``msg_id, neighbor, distance, rank`` (exact).
@@ -192,7 +198,7 @@ def _spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
 
 
 def close_links(
-    points: DataFrame, epsilon: float, pivots: int = 256, block_rows: int = BLOCK_ROWS
+    points: DataFrame, epsilon: float, pivots: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Links ``a, b`` that join the same rows as all pairs within ``epsilon`` do.
 
@@ -250,7 +256,7 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def density_clusters(
-    points: DataFrame, epsilon: float = 0.5, min_cluster_size: int = 5, pivots: int = 256, block_rows: int = BLOCK_ROWS
+    points: DataFrame, epsilon: float = 0.5, min_cluster_size: int = 5, pivots: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """``msg_id, labels``: rows linked through gaps of at most ``epsilon``; small groups are -1.
 

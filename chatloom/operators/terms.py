@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text
 from chatloom.operators.ordering import with_next
+from chatloom.session import cut_lineage
 
 
 def default_stop_words() -> list[str]:
@@ -66,10 +67,11 @@ def topic_term_counts(
     both = inner.withColumn("_seen", F.lit(True)).unionByName(across.withColumn("_seen", F.lit(False)))
     counts = both.groupBy("labels", "term").agg(F.sum("n").alias("n"), F.max("_seen").alias("_seen"))
     if vocabulary is not None:
-        return counts.drop("_seen").join(vocabulary.select("term"), "term", "left_semi")
+        return cut_lineage(counts.drop("_seen").join(vocabulary.select("term"), "term", "left_semi"))
     # a term has at most one row per topic here
     known = F.max("_seen").over(Window.partitionBy("term"))
-    return counts.withColumn("_known", known).filter("_known").select("labels", "term", "n")
+    # weighting, ranking and similarity each pass over the counts several times
+    return cut_lineage(counts.withColumn("_known", known).filter("_known").select("labels", "term", "n"))
 
 
 def ctfidf(counts: DataFrame, seed_words: Sequence[str] = (), multiplier: float = 1.2) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chatloom import schema
 from chatloom.operators import clusters, neighbors, prepare, sampling, terms, timeline, tokens, unigram, vectors, windows
 from chatloom.operators.profile import cluster_profile, describe_topics
-from chatloom.session import ready
+from chatloom.session import cut_lineage, ready
 from chatloom.sources import readers, writers
 
 Vectorizer = Callable[[DataFrame], DataFrame]
@@ -79,10 +79,9 @@ def mlm_data(
     """Shuffled and split window documents (``train``, ``test``) and their masked examples."""
     rows = _clean_stage(spark, in_path, mention_filter, count_url_filter)
     vocabulary = readers.read_stage(spark, vocabulary_path)
-    coded = unigram.encode_unigram(rows, vocabulary, special_tokens, max_length=max_length)
-    packed = windows.pack_messages(
-        windows.with_time_bin(coded, time_window_freq), "message_tokenized_length", "message_tokenized_length_window", max_length
-    )
+    binned = windows.with_time_bin(rows, time_window_freq)
+    coded = cut_lineage(unigram.encode_unigram(binned, vocabulary, special_tokens, max_length=max_length))
+    packed = windows.pack_messages(coded, "message_tokenized_length", "message_tokenized_length_window", max_length)
     documents = windows.token_documents(packed, "message_tokenized_length_window")
     keys = ["channel", "published_datetime", "message_tokenized_length_window"]
     writers.write_stage(documents, f"{out_path}/documents", by_channel=False)
@@ -119,9 +118,9 @@ def broadcast_stats(
     chat = readers.read_stage(ready(spark), in_path)
     rows = prepare.broadcast_slice(chat, channels, f"{date} 19:00:00", f"{date} 23:00:00")
     rows = prepare.clean_messages(prepare.filter_spam(rows)).withColumn("index", F.col("msg_id"))
-    coded = unigram.encode_unigram(rows, vocabulary)
-    binned = windows.with_window_id(windows.with_time_bin(coded, time_window_freq))
-    packed = windows.pack_messages(binned, "message_tokenized_length", "message_tokenized_length_window", max_length)
+    binned = windows.with_window_id(windows.with_time_bin(rows, time_window_freq))
+    coded = cut_lineage(unigram.encode_unigram(binned, vocabulary))
+    packed = windows.pack_messages(coded, "message_tokenized_length", "message_tokenized_length_window", max_length)
     return sampling.smallest(packed, ["published_datetime", "msg_id"], limit) if limit else packed
 
 

@@ -17,7 +17,7 @@ from chatloom.operators import windows as W
 from chatloom.operators.profile import cluster_profile, describe_topics
 from chatloom.plans import jobs
 from chatloom.schema import SPECIAL_TOKENS
-from chatloom.session import ready
+from chatloom.session import cut_lineage, ready
 from chatloom.sources import sample_chat as S
 from chatloom.sources import writers
 
@@ -69,8 +69,8 @@ def plane(df: DataFrame) -> DataFrame:
 
 
 def scored(spark, sf_dir) -> DataFrame:
-    rows = with_word_length(clustered(spark, sf_dir))
-    return C.prepare_clusters(rows, C.silhouette_simplified(plane(rows)))
+    rows = cut_lineage(with_word_length(clustered(spark, sf_dir)))
+    return cut_lineage(C.prepare_clusters(rows, C.silhouette_simplified(plane(rows))))
 
 
 def stop_words() -> list[str]:
@@ -191,8 +191,8 @@ def corpus_text(spark, sf_dir):
 
 def encoded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = cleaned(spark, sf_dir)
-    vocabulary = tokens.word_vocabulary(rows)
-    return tokens.encode_words(rows, vocabulary), vocabulary
+    vocabulary = cut_lineage(tokens.word_vocabulary(rows))
+    return cut_lineage(tokens.encode_words(rows, vocabulary)), vocabulary
 
 
 def joined(column: str):
@@ -484,7 +484,7 @@ def label_distances(spark, sf_dir):
 
 def with_ids(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows, vocabulary = encoded(spark, sf_dir)
-    return S.with_clusters(rows, spark, sf_dir), vocabulary
+    return cut_lineage(S.with_clusters(rows, spark, sf_dir).drop("vector")), vocabulary
 
 
 @query
