@@ -338,7 +338,7 @@ def knn_graph(spark, sf_dir):
 
 @query
 def density_clusters(spark, sf_dir):
-    return N.density_clusters(S.vectors_with_labels(spark, sf_dir), 1.05)
+    return N.density_clusters(S.vectors_with_labels(spark, sf_dir), 1.14)
 
 
 # ---- clusters
