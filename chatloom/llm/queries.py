@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from chatloom.llm.secrets import scan_secrets
 from chatloom.llm.sentencepiece_codec import encoding_summary
 from chatloom.llm.token_counts import token_counts
+from chatloom.llm.token_files import token_file_round_trip
+from chatloom.llm.warc import archive_round_trip
 from chatloom.session import ready
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MAX_TOKENS = 4096
+END_ID = 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +29,28 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_summary(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archive_round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_round_trip(table(spark, sf_dir, "documents"), WORDS, END_ID)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES, MAX_TOKENS)
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_warc": op5_warc,
+    "op6_secrets": op6_secrets,
+    "op7_token_files": op7_token_files,
     "op8_token_counts": op8_token_counts,
 }
 
