@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from chatloom.llm.quality_rules import BASE, judged
 from chatloom.llm.secrets import scan_secrets
 from chatloom.llm.sentencepiece_codec import encoding_summary
 from chatloom.llm.token_counts import token_counts
@@ -29,6 +30,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_summary(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept", "quality", "votes")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = archive_round_trip(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,6 +53,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_quality_rules": op3_quality_rules,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op7_token_files": op7_token_files,
