@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from chatloom.llm import line_dedup
 from chatloom.llm.quality_rules import BASE, judged
 from chatloom.llm.secrets import scan_secrets
 from chatloom.llm.sentencepiece_codec import encoding_summary
@@ -30,6 +31,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_summary(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_summary(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept", "quality", "votes")
 
@@ -53,6 +58,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
@@ -60,4 +66,4 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
