@@ -11,6 +11,7 @@ from chatloom.llm import line_dedup
 from chatloom.llm.quality_rules import BASE, judged
 from chatloom.llm.secrets import scan_secrets
 from chatloom.llm.sentencepiece_codec import encoding_summary
+from chatloom.llm.simhash_dedup import near_duplicate_summary
 from chatloom.llm.token_counts import token_counts
 from chatloom.llm.token_files import token_file_round_trip
 from chatloom.llm.warc import archive_round_trip
@@ -56,6 +57,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES, MAX_TOKENS)
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_summary(table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
@@ -64,6 +69,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_token_files": op7_token_files,
     "op8_token_counts": op8_token_counts,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
