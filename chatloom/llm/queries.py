@@ -13,6 +13,7 @@ from chatloom.llm.quality_rules import BASE, judged
 from chatloom.llm.secrets import scan_secrets
 from chatloom.llm.sentencepiece_codec import encoding_summary
 from chatloom.llm.simhash_dedup import near_duplicate_summary
+from chatloom.llm.suffix_dedup import removed_repeats
 from chatloom.llm.token_counts import token_counts
 from chatloom.llm.token_files import token_file_round_trip
 from chatloom.llm.warc import archive_round_trip
@@ -41,6 +42,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept", "quality", "votes")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = archive_round_trip(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -70,6 +75,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op7_token_files": op7_token_files,
