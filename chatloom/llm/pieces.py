@@ -67,14 +67,21 @@ class PieceModel:
 
 
 class Memo(dict):
-    """Results of a pure function by argument, forgotten when ``limit`` are held."""
+    """Results of a pure function by argument; at most ``limit`` are held, in two generations.
+
+    When the young generation is full it becomes the old one, and what is asked for again moves back.
+    """
 
     def __init__(self, function, limit: int):
         super().__init__()
-        self.function, self.limit = function, limit
+        self.function, self.half, self.old = function, limit // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        self[key] = value
         return value

@@ -3,8 +3,8 @@
 A text is normalised as the model says, cut into segments no merge can cross, and each segment is
 encoded by an agenda: all adjacent pairs that form a piece wait in a heap by score, the best and then
 leftmost is merged, and the pairs it forms with its neighbours join the heap. Symbols without a piece
-become their UTF-8 bytes. Every segment that enters a worker's memo is checked against the
-sentencepiece library, batch by batch; ``agrees`` tells of each text whether all of its segments did.
+become their UTF-8 bytes. Every segment with a part that is new to a worker is checked against the
+sentencepiece library, batch by batch; ``agrees`` tells of each text whether all its segments did so far.
 
 Null and empty texts give the end id only. Repeated rows give repeated results. A text of any length
 is encoded whole; work is n log n in the longest segment. Other columns of the input are ignored.
@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.base import map_batches, per_process, whole_texts
-from chatloom.llm.pieces import Memo, PieceModel
+from chatloom.llm.pieces import SPACE, Memo, PieceModel
 
 SHIFT = 40
 LEFT = (1 << SHIFT) - 1
 NONE, GONE = (1 << 30) - 1, (1 << 30) - 2
-MEMO = 500_000
+PART_MEMO, SEGMENT_MEMO = 1_000_000, 500_000
 
 
 def agenda_encode(part: str, model: PieceModel) -> tuple[int, ...]:
@@ -82,19 +82,25 @@ class Codec:
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.parts = Memo(lambda part: agenda_encode(part, self.model), MEMO)
-        self.segments = Memo(self._segment, MEMO)
-        self.fresh: list[str] = []
+        self.parts = Memo(self._part, PART_MEMO)
+        self.segments = Memo(self._segment, SEGMENT_MEMO)
+        self.fresh: set[str] = set()
+        self.new_part = False
         self.wrong: set[str] = set()
         self.end = self.model.library.eos_id()
         self.digits = [str(i) for i in range(self.model.library.get_piece_size())]
 
+    def _part(self, part: str) -> tuple[int, ...]:
+        self.new_part = True
+        return agenda_encode(part, self.model)
+
     def _segment(self, segment: str) -> tuple[int, ...]:
-        self.fresh.append(segment)
+        self.new_part = False
         parts = self.model.parts(segment)
-        if len(parts) == 1:
-            return self.parts[segment]
-        return tuple(chain.from_iterable(map(self.parts.__getitem__, parts)))
+        ids = self.parts[segment] if len(parts) == 1 else tuple(chain.from_iterable(map(self.parts.__getitem__, parts)))
+        if self.new_part:
+            self.fresh.add(segment)
+        return ids
 
     def ids(self, normalized: str) -> list[int]:
         found = list(chain.from_iterable(map(self.segments.__getitem__, self.model.segments(normalized))))
@@ -102,21 +108,14 @@ class Codec:
         return found
 
     def check(self) -> None:
-        """The segments new since the last check, against the library."""
-        library, fresh, self.fresh = self.model.library, list(set(self.fresh)), []
-        # the library puts a blank sign in front of a text: a segment is given without its own one
-        plain = [s for s in fresh if s[0] == "▁"]
-        for segment, ids in zip(plain, library.encode([s[1:].replace("▁", " ") for s in plain], num_threads=1)):
-            # a lone blank sign is the library's empty text, which has no ids
-            if segment != "▁" and self._segment_again(segment) != tuple(ids):
+        """Segments with parts that were new since the last check, against the library."""
+        # the library puts a blank sign in front of a text, and gives a lone one no ids
+        fresh, self.fresh = [s for s in self.fresh if s[0] == SPACE != s], set()
+        found = self.model.library.encode([s[1:].replace(SPACE, " ") for s in fresh], num_threads=1)
+        for segment, ids in zip(fresh, found):
+            if tuple(chain.from_iterable(map(self.parts.__getitem__, self.model.parts(segment)))) != tuple(ids):
                 self.wrong.add(segment)
 
-    def _segment_again(self, segment: str) -> tuple[int, ...]:
-        known = self.segments.get(segment)
-        if known is None:
-            known = tuple(chain.from_iterable(map(self.parts.__getitem__, self.model.parts(segment))))
-        return known
-
     def agrees(self, normalized: str) -> bool:
         return not self.wrong or self.wrong.isdisjoint(self.model.segments(normalized))
 
