@@ -203,8 +203,12 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     The second pass measures the texts again instead of joining verdicts to them: a filter, no shuffle.
     """
-    slim = with_votes(text_measures(docs)).withColumn("base_failed", base_failed()).filter(~F.col("base_failed"))
+    slim = with_votes(text_measures(docs)).select("votes", base_failed().alias("base_failed"))
+    slim = stored(slim, "quality-votes").filter(~F.col("base_failed"))
     patterns = stored(slim.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
     quality = posterior(estimate(patterns, len(RULES)))
-    rows = with_votes(text_measures(docs, carry=True)).filter(~base_failed() & (quality >= 0.5))
-    return rows.select("_row.*")
+    rows = with_votes(text_measures(docs, carry=True)).withColumn("base_failed", base_failed())
+    # a filter stays above a column of row numbers that it reads; pushed down, it would write out all
+    # measures anew at each use of a vote
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    return rows.filter(~F.col("base_failed") & (quality >= 0.5) & (F.col("_at") >= 0)).select("_row.*")
