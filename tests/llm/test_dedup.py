@@ -1,0 +1,286 @@
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from chatloom.llm import decontaminate, golay, line_dedup, quality_rules, simhash_dedup, suffix_arrays, suffix_dedup
+from tests.llm.conftest import ODD
+
+WORDS = [a + b for a in ("ka", "lo", "mi", "ter", "an", "su") for b in ("n", "ra", "to", "", "vel")]
+
+
+def prose(draw, n):
+    return " ".join(draw.choice(WORDS) for _ in range(n))
+
+
+def corpus(seed=1, n=60):
+    draw = random.Random(seed)
+    texts = [prose(draw, draw.randint(1, 120)) for _ in range(n)]
+    passage = prose(draw, 60)
+    for i in range(0, n, 5):
+        texts[i] += "\n" + passage + "\n" + prose(draw, 10)
+    texts += texts[:10]
+    for t in texts[10:25]:
+        w = t.split(" ")
+        w[len(w) // 2] = "changed"
+        texts.append(" ".join(w))
+    return [(i, t, f"s{i % 7}") for i, t in enumerate(texts)]
+
+
+# ---- suffix arrays
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_suffix_arrays_prefixes_and_repeats(seed):
+    draw = np.random.default_rng(seed)
+    for _ in range(40):
+        n, letters, depth = int(draw.integers(0, 300)), int(draw.integers(1, 5)), int(draw.choice([6, 12, 50]))
+        text = draw.integers(1, letters + 1, n).astype(np.uint8)
+        if n > 60:
+            text[n // 2 : n // 2 + n // 3] = text[: n // 3]
+        raw = bytes(text)
+        array, ranks = suffix_arrays.suffix_array(text, depth)
+        assert [raw[i : i + depth] for i in array] == sorted(raw[i : i + depth] for i in range(n))
+        shared = suffix_arrays.common_prefixes(text, array, depth)
+        for a, b in zip(array, array[1:]):
+            assert shared[b] == next(k for k in range(depth + 1) if k == depth or a + k >= n or b + k >= n or raw[a + k] != raw[b + k])
+        places, _ = suffix_arrays.repeats(text, np.arange(n) + depth <= n, depth)
+        found = Counter(raw[i : i + depth] for i in range(n - depth + 1))
+        assert sorted(places.tolist()) == [i for i in range(n - depth + 1) if found[raw[i : i + depth]] > 1]
+
+
+def removed(rows, length=50):
+    """Brute force of the removal contract; rows of one id do not count for each other."""
+    by_id = defaultdict(list)
+    for doc_id, text, *_ in rows:
+        by_id[doc_id].append((text or "").encode())
+    seen, out = set(), []
+    for doc_id in sorted(by_id, key=lambda d: (d is None, d or 0)):
+        mine = set()
+        for raw in by_id[doc_id]:
+            gone = bytearray(len(raw))
+            for p in range(len(raw) - length + 1):
+                if raw[p : p + length] in seen:
+                    gone[p : p + length] = b"\1" * length
+                mine.add(raw[p : p + length])
+            spans = len(re.findall(b"\1+", bytes(gone)))
+            out.append((doc_id, len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone) if not g)).hexdigest()))
+        seen |= mine
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shard", [700, 100_000])
+def test_repeats_across_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 5_000)
+    rows = corpus()
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    assert sorted(map(tuple, suffix_dedup.removed_repeats(frame).collect()), key=str) == removed(rows)
+
+
+def test_repeats_of_odd_rows(odd, none, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 10_000)
+    assert sorted(map(tuple, suffix_dedup.removed_repeats(odd).collect()), key=str) == removed(ODD)
+    assert suffix_dedup.removed_repeats(none).count() == 0
+
+
+# ---- SimHash and Golay code
+
+
+def test_golay_words_one_bit_apart_share_a_key():
+    draw = np.random.default_rng(0)
+    left = draw.integers(0, 1 << 23, 20_000)
+    right = left ^ (1 << draw.integers(0, 23, 20_000))
+    a, b = golay.keys(left), golay.keys(right)
+    assert ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any((1, 2)).all()
+    assert set((a >= 0).sum(1)) == {1, 6}
+
+
+def print_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def components(prints):
+    parent = {p: p for p in prints}
+
+    def root(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    ordered = sorted(prints)
+    for i, a in enumerate(ordered):
+        for b in ordered[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                parent[root(a)] = root(b)
+    return {p: root(p) for p in prints}
+
+
+def groups_of(rows):
+    prints = [(r[0], print_of(r[1])) for r in rows]
+    of = components({p for _, p in prints})
+    least = defaultdict(lambda: None)
+    for doc_id, p in prints:
+        if doc_id is not None:
+            least[of[p]] = doc_id if least[of[p]] is None else min(doc_id, least[of[p]])
+    return sorted(((d, f"{p:016x}", least[of[p]]) for d, p in prints), key=str)
+
+
+def test_near_duplicates_match_brute_force(spark, odd, none):
+    rows = corpus(2, 120)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    assert sorted(map(tuple, simhash_dedup.near_duplicate_summary(frame).collect()), key=str) == groups_of(rows)
+    assert sorted(map(tuple, simhash_dedup.near_duplicate_summary(odd).collect()), key=str) == groups_of(ODD)
+    assert simhash_dedup.near_duplicate_summary(none).count() == 0
+    kept = simhash_dedup.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns
+    staying = {c for _, _, c in groups_of(ODD)}
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(c for c in staying if c is not None)
+    assert simhash_dedup.drop_near_duplicates(none).count() == 0
+
+
+def test_links_of_crowded_keys_span_the_same_components(spark):
+    draw = random.Random(4)
+    center = draw.getrandbits(64)
+    prints = {center ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 4))) for _ in range(400)} | {draw.getrandbits(64) for _ in range(100)}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(p,) for p in signed], "print bigint")
+    links = [(r.a, r.b) for r in simhash_dedup.near_links(frame, block_rows=40).collect()]
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in links) and len(links) < 40 * len(prints)
+    parent = {p: p for p in signed}
+
+    def root(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    want = components(prints)
+    assert len({root(p) for p in signed}) == len(set(want.values()))
+
+
+# ---- lines
+
+
+def test_lines_of_many_sites_go_but_for_the_first(spark, odd, none):
+    line, near, rare = "this line stands on very many sites", "this one is on as many sites as needed", "this one is on one site fewer"
+    rows = [(i, f"own text {i}\n {line}\t\nshort\n{line}", f"s{i % 40}") for i in range(100, 0, -1)]
+    rows += [(200 + i, f"{near}\nx", f"s{i}") for i in range(10)] + [(300 + i, rare, f"s{i % 9}") for i in range(30)]
+    rows += [(400, None, "s1"), (401, "", None), (402, line, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    assert found[1] == f"own text 1\n {line}\t\nshort" and found[2] == "own text 2\nshort"
+    assert found[200] == f"{near}\nx" and found[201] == "x" and found[300] == rare == found[329]
+    assert found[400] is None and found[401] == "" and found[402] == ""
+    assert sorted(map(str, line_dedup.dedup_lines(odd).select(odd.columns).collect())) == sorted(map(str, odd.collect()))
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+# ---- quality rules
+
+
+def measures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(zip(words, words[1:], words[2:]))
+    covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_measures_and_base_rules(spark, odd, none):
+    draw = random.Random(6)
+    rows = ODD + [(100 + i, " ".join(draw.choice("a b c d # | é\n".split(" ")) for _ in range(draw.randint(0, 80))), "s") for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = [(r.doc_id, *(r[c] for c in quality_rules.BASE)) for r in quality_rules.text_measures(frame).collect()]
+    order = (0, 1, 2, 3, 4)
+    assert sorted(found, key=str) == sorted(((d, *(measures(t)[i] for i in order)) for d, t, _ in rows), key=str)
+    judged = {r.doc_id: r for r in quality_rules.judged(frame).collect()}
+    for doc_id, text, _ in rows:
+        n, _, _, _, repeated = measures(text)
+        assert judged[doc_id].base_failed == (n < 50 or 100 * repeated > 50 * n)
+        assert not (judged[doc_id].base_failed and judged[doc_id].kept)
+    assert quality_rules.judged(none).count() == 0 and quality_rules.keep_good(none).count() == 0
+    assert quality_rules.keep_good(odd).columns == odd.columns
+
+
+def test_estimation_matches_numpy_and_finds_the_accurate_rules(spark):
+    draw = np.random.default_rng(1)
+    good = draw.random(4_000) < 0.7
+    right = np.array([0.95, 0.9, 0.85, 0.6])
+    votes = np.where(draw.random((4_000, 4)) < right, good[:, None], ~good[:, None])
+    votes = np.where(draw.random((4_000, 4)) < 0.3, 0, np.where(votes, 1, -1))
+    texts = ["".join("-0+"[v + 1] for v in row) for row in votes]
+    patterns = spark.createDataFrame(list(Counter(texts).items()), "votes string, n bigint")
+    found = quality_rules.estimate(patterns, 4, rounds=200, settled=1e-9)
+    now = quality_rules.start(4)
+    prior, a, b = now.prior, np.array(now.on_good), np.array(now.on_bad)
+    for _ in range(200):
+        odds = np.log(prior / (1 - prior)) + ((votes == 1) * np.log(a / (1 - b)) + (votes == -1) * np.log((1 - a) / b)).sum(1)
+        p = 1 / (1 + np.exp(-odds))
+        a = np.clip((((votes == 1) * p[:, None]).sum(0) + 0.8) / (((votes != 0) * p[:, None]).sum(0) + 1), 0.01, 0.99)
+        b = np.maximum(np.clip((((votes == -1) * (1 - p)[:, None]).sum(0) + 0.6) / (((votes != 0) * (1 - p)[:, None]).sum(0) + 1), 0.01, 0.99), 1 - a)
+        prior = np.clip((p.sum() + 0.8) / (len(p) + 1), 0.05, 0.95)
+    assert found.prior == pytest.approx(prior, abs=1e-5) and found.on_good == pytest.approx(a, abs=1e-5) and found.on_bad == pytest.approx(b, abs=1e-5)
+    assert abs(found.prior - 0.7) < 0.05 and found.on_good[0] > found.on_good[2] > found.on_good[3]
+    assert np.mean((p >= 0.5) == good) > 0.9
+
+
+# ---- decontamination
+
+
+def alike(left, right):
+    a, b = (Counter(tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))) for x in (left, right))
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def test_items_are_found_as_by_brute_force(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    draw = random.Random(9)
+    items = [(i, prose(draw, draw.randint(6, 60)).capitalize() + ".") for i in range(20)] + [(20, "One, two!"), (21, None), (22, "..."), (0, None), (3, "kan ra to velo sun")]
+    rows = []
+    for i in range(150):
+        words = prose(draw, draw.randint(0, 150)).split(" ")
+        if i % 3:
+            item = list(decontaminate.words_of(draw.choice(items[:20])[1]))
+            for _ in range(draw.randint(0, 3)):
+                item[draw.randrange(len(item))] = "zz"
+            at = draw.randint(0, len(words))
+            words[at:at] = item
+        rows.append((i, " ".join(words) + (" one two" if i % 10 == 0 else ""), "s"))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    given = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(frame, given).collect()}
+    want = {}
+    for doc_id, text, _ in rows:
+        words = decontaminate.words_of(text)
+        for item_id, item in items:
+            item = decontaminate.words_of(item or "")
+            if item and words:
+                best = max(alike(words[a : a + len(item)], item) for a in range(max(1, len(words) - len(item) + 1)))
+                if best >= 0.8:
+                    want[doc_id, item_id] = max(best, want.get((doc_id, item_id), 0))
+    assert found == pytest.approx(want) and len(want) > 40
+    clean = decontaminate.drop_contaminated(frame, given)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted({r[0] for r in rows} - {d for d, _ in want})
+    assert decontaminate.contaminated(odd, given).count() == 0
+    assert sorted(map(str, decontaminate.drop_contaminated(odd, given).collect())) == sorted(map(str, odd.collect()))
+    assert decontaminate.contaminated(none, given).count() == 0 and decontaminate.contaminated(odd, given.limit(0)).count() == 0
+
+
+def test_the_index_finds_every_print_within_the_radius():
+    draw = np.random.default_rng(2)
+    items = decontaminate.Items([(i, prose(random.Random(i), 30)) for i in range(50)], 0.8)
+    flips = [draw.permutation(64)[: int(draw.integers(0, 30))] for _ in range(2_000)]
+    of = draw.integers(0, 50, 2_000)
+    prints = np.array([items.prints[i] ^ np.bitwise_or.reduce(np.r_[np.uint64(0), np.uint64(1) << f.astype(np.uint64)]) for i, f in zip(of, flips)], np.uint64)
+    windows, found = items.lookup(prints)
+    near = np.bitwise_count(prints[:, None] ^ items.prints[None, :]) <= decontaminate.RADIUS
+    assert set(zip(windows.tolist(), found.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near))))
