@@ -79,7 +79,7 @@ def terms_label(terms: Column, count: int = 5) -> Column:
 def _ascii_tables() -> tuple[str, str, dict[str, str], str]:
     """Compatibility decompositions reduced to ASCII: one-letter pairs, the longer ones, their class."""
     source, target, longer, ranges = [], [], {}, []
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, 0x110000):
         if 0xD800 <= code < 0xE000:
             continue
         char = chr(code)
@@ -93,7 +93,7 @@ def _ascii_tables() -> tuple[str, str, dict[str, str], str]:
                 ranges[-1][1] = code
             else:
                 ranges.append([code, code])
-    listed = "".join(rf"\u{first:04x}-\u{last:04x}" for first, last in ranges)
+    listed = "".join(rf"\x{{{first:x}}}-\x{{{last:x}}}" for first, last in ranges)
     return "".join(source), "".join(target), longer, f"[{listed}]"
 
 

@@ -17,6 +17,10 @@ TABLES = (
 ).split()
 
 
+#: Spark's name of each DuckDB type.
+FAMILY = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date"}
+
+
 def connect(folder: str):
     con = duckdb.connect()
     for name in TABLES:
@@ -42,12 +46,15 @@ def as_bag(columns, rows) -> Counter:
 def compare(frame, con, sql: str) -> str | None:
     """None where both sides give the same rows, otherwise what differs."""
     start = time.time()
-    result = con.execute(sql)
-    columns = [d[0] for d in result.description]
+    result = con.sql(sql)
+    columns = result.columns
     expected = as_bag(columns, result.fetchall())
     compare.sql_seconds = time.time() - start
-    if sorted(frame.columns) != sorted(columns):
-        return f"columns {sorted(frame.columns)} != {sorted(columns)}"
+    if frame.columns != columns:
+        return f"columns {frame.columns} != {columns}"
+    kinds = [(c, FAMILY.get(str(k), str(k)), t) for c, k, (_, t) in zip(columns, result.types, frame.dtypes) if FAMILY.get(str(k), str(k)) != t]
+    if kinds:
+        return f"types {kinds}"
     found = as_bag(frame.columns, [tuple(r) for r in frame.collect()])
     if found == expected:
         return None

@@ -104,3 +104,8 @@ def test_frequencies():
 def test_finite(spark):
     found = value(spark, finite(F.array(F.lit(float("nan")), F.lit(float("-inf")), F.lit(2.0))))
     assert found[0] == 0.0 and found[1] < -1e308 and found[2] == 2.0
+
+
+def test_styled_letters_beyond_the_basic_plane_are_folded(spark):
+    styled = "\U0001D407\U0001D41E\U0001D425\U0001D425\U0001D428 \U0001F60A \U0001F110"
+    assert value(spark, text.fold_ascii(F.col("m")), m=styled) == "Hello  (A)"  # letters are lowered before they are folded

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,11 +49,10 @@ def test_origin_is_the_first_kept_message(chat):
 
 
 @pytest.mark.parametrize("lengths, expected", [([300, 100, 200, 50], [0, 0, 1, 1]), ([600, 10], [1, 2]), ([499, 1, 1], [0, 0, 1]), ([0, 0], [0, 0])])
-@pytest.mark.parametrize("fold_limit", [1_000, 0])
-def test_packing_literals(chat, lengths, expected, fold_limit):
+def test_packing_literals(chat, lengths, expected):
     rows = chat([(i, 0.001 * i, "a", "u", "x" * n) for i, n in enumerate(lengths)])
     binned = windows.with_time_bin(prepare.prepare_chat(rows), "5s")
-    packed = windows.pack_messages(binned, "message_length", "g", 500, fold_limit=fold_limit)
+    packed = windows.pack_messages(binned, "message_length", "g", 500)
     assert [r.g for r in packed.orderBy("msg_id").collect()] == expected
 
 
@@ -63,7 +63,7 @@ def test_crowded_windows_pack_like_small_ones(chat, seed):
     rows = [(i, 0.0 if draw.random() < 0.4 else draw.random() * 4, "hot", "u", "x" * draw.choice([0, 3, 9, 40, 70])) for i in range(600)]
     rows += [(1_000 + i, draw.random() * 60, "cold", "u", "x" * draw.randrange(60)) for i in range(80)]
     binned = windows.with_time_bin(prepare.prepare_chat(chat(rows)), "5s")
-    wide = windows.pack_messages(binned, "message_length", "g", 50, fold_limit=50).orderBy("published_datetime", "msg_id").collect()
+    wide = windows.pack_messages(binned, "message_length", "g", 50).orderBy("published_datetime", "msg_id").collect()
     whole = {}
     for r in wide:
         whole.setdefault((r.channel, r.window_bin), []).append((r.message_length, r.g))
@@ -72,6 +72,16 @@ def test_crowded_windows_pack_like_small_ones(chat, seed):
         assert [g for _, g in pairs] == greedy([n for n, _ in pairs], 50)
 
 
+def test_block_tables_agree_with_packing():
+    draw = random.Random(3)
+    for limit in (0, 7, 40):
+        lengths = np.array([draw.choice([0, 1, 5, 9, 60]) for _ in range(30)])
+        sums, steps = windows._block_table(lengths, limit)
+        for entry in range(limit + 2):
+            starts, left = windows.group_starts(lengths, entry, limit)
+            assert (min(left, limit + 1), len(starts)) == (sums[entry], steps[entry])
+
+
 def test_documents_join_in_time_order_and_count_named_users(chat):
     rows = chat([(2, 1.0, "a", None, "second"), (1, 1.0, "a", "u", "first"), (3, 0.5, "a", "v", "zero @x")])
     packed = windows.pack_messages(windows.with_time_bin(prepare.clean_messages(prepare.prepare_chat(rows)), "5s"), "message_length", "g")
