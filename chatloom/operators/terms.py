@@ -50,7 +50,8 @@ def topic_term_counts(
     travel. ``vocabulary`` limits the terms; without it, terms seen in single messages count.
     """
     rows = messages.select("labels", "published_datetime", "msg_id", column)
-    words = with_kept_words(rows, stop_words, column).filter(F.size("words") > 0)
+    # inner terms, the sampling of blocks and the blocks themselves all read the folded words
+    words = cut_lineage(with_kept_words(rows, stop_words, column).drop(column).filter(F.size("words") > 0))
     inner = words.select("labels", F.explode(text.terms_of(F.col("words"))).alias("term"))
     inner = inner.groupBy("labels", "term").agg(F.count(F.lit(1)).alias("n"))
     outer = words.select(

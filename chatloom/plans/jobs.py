@@ -22,10 +22,22 @@ def _clean_stage(spark: SparkSession, in_path: str, mention_filter: int, count_u
     return prepare.clean_messages(rows)
 
 
-def data(spark: SparkSession, csv_path: str, channels: Sequence[str], out_path: str, on_bad_file: str = "drop_file") -> None:
-    """Chat files of the channels to one prepared table, ordered by channel and time."""
-    raw = readers.read_chat_csv(ready(spark), csv_path, channels, on_bad_file)
-    writers.write_stage(prepare.prepare_chat(readers.with_message_ids(raw)), out_path)
+def data(
+    spark: SparkSession,
+    csv_path: str,
+    channels: Sequence[str],
+    out_path: str,
+    on_bad_file: str = "drop_file",
+    multi_line: bool = False,
+) -> list[str]:
+    """Chat files of the channels to one prepared table, ordered by channel and time.
+
+    Returns the names of files left out because they are damaged: a few, by their nature.
+    """
+    raw = readers.read_chat_csv(ready(spark), csv_path, channels, on_bad_file, multi_line)
+    prepared = prepare.prepare_chat(readers.with_message_ids(raw))
+    writers.write_stage(prepared.orderBy("channel", "published_datetime", "msg_id"), out_path)
+    return sorted(r["file"] for r in readers.damaged_files(spark, csv_path, channels).collect())
 
 
 def train_tokenizer(

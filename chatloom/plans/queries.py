@@ -214,7 +214,8 @@ def window_documents_tokens(spark, sf_dir):
 
 @query
 def tokens_by_channel(spark, sf_dir):
-    return tokens.tokens_by_channel(encoded(spark, sf_dir)[0])
+    rows = cleaned(spark, sf_dir)
+    return tokens.word_uses_by_channel(rows, cut_lineage(tokens.word_vocabulary(rows)))
 
 
 @query
@@ -489,7 +490,8 @@ def with_ids(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query
 def representative_message(spark, sf_dir):
-    rows, _ = with_ids(spark, sf_dir)
+    # lengths need no ids; the median reads its rows more than once
+    rows = cut_lineage(with_word_length(clustered(spark, sf_dir)).select("labels", "msg_id", "x", "y", "count_mention", "message_tokenized_length"))
     return timeline.representative_messages(rows).select("labels", "msg_id", "count_mention", rounded("distance"))
 
 

@@ -21,8 +21,9 @@ def read_chat_csv(
     """Headerless ``;`` separated chat files: the columns of the raw chat table and ``file``.
 
     A doubled quote is a quote and a backslash is a plain character. With ``channels``, only files
-    ``{channel}.csv*`` of the folder are read. Unreadable files are skipped. A file with a date that
-    cannot be parsed is left out whole (``drop_file``) or loses these rows (``drop_rows``).
+    ``{channel}.csv*`` of the folder are read. Compressed files that break off or are damaged are left out
+    whole, see :func:`damaged_files`. A file with a date that cannot be parsed is left out whole
+    (``drop_file``) or loses these rows (``drop_rows``). ``multi_line`` reads line breaks inside quotes.
     """
     if on_bad_file not in ("drop_file", "drop_rows"):
         raise ValueError(f"unknown on_bad_file {on_bad_file!r}")
@@ -33,7 +34,7 @@ def read_chat_csv(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", True)  # the rows before the damage go below, with their file
         .option("mode", "PERMISSIVE")
     )
     if channels:
@@ -41,6 +42,7 @@ def read_chat_csv(
     raw = reader.csv(path).withColumn("file", F.col("_metadata.file_path")).withColumn(
         "_block", F.col("_metadata.file_block_start")
     ).withColumn("_row", F.monotonically_increasing_id())
+    raw = raw.join(damaged_files(spark, path, channels), "file", "left_anti")
     parsed = raw.withColumn("_at", F.try_to_timestamp("published_datetime"))
     unparsed = F.col("published_datetime").isNotNull() & F.col("_at").isNull()
     if on_bad_file == "drop_file":
@@ -50,6 +52,42 @@ def read_chat_csv(
     return parsed.select(F.col("_at").alias("published_datetime"), *names[1:], "file", "_block", "_row")
 
 
+def damaged_files(spark: SparkSession, path: str, channels: Sequence[str] = ()) -> DataFrame:
+    """``file`` of each gzip file that cannot be read to its end; empty where all can.
+
+    Each file is unpacked piece by piece in the task that holds it, and nothing of it is kept.
+    """
+    pattern = "{" + ",".join(channels) + "}.csv*.gz" if channels else "*.gz"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", False).load(path)
+
+    def check(batches):
+        for batch in batches:
+            bad = [not _whole_gzip(content) for content in batch["content"]]
+            yield batch.loc[bad, ["file"]]
+
+    return files.select(F.col("_metadata.file_path").alias("file"), "content").mapInPandas(check, "file string")
+
+
+def _whole_gzip(content: bytes, piece: int = 1 << 20) -> bool:
+    import zlib
+
+    left = bytes(content)
+    while left:
+        member, at = zlib.decompressobj(wbits=31), 0
+        try:
+            while not member.eof and at < len(left):
+                data, at = left[at : at + piece], at + piece
+                while data and not member.eof:
+                    member.decompress(data, piece)
+                    data = member.unconsumed_tail
+        except zlib.error:
+            return False
+        if not member.eof:
+            return False
+        left = member.unused_data + left[at:]
+    return bool(content)
+
+
 def with_message_ids(chat: DataFrame) -> DataFrame:
     """``msg_id`` in channel and time order; ties keep the order of the file."""
     order = ["channel", "published_datetime", "file", "_block", "_row"]

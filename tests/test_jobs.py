@@ -124,3 +124,22 @@ def test_topics_and_timeline_jobs(spark, workspace, prepared, vocabulary):
     sweep = str(workspace / "sweep")
     jobs.layout_parameters(spark, f"{out}/stats", sweep, "alpha", "2021-11-04", limit=40)
     assert spark.read.parquet(sweep).count() == 180 * 40
+
+
+def test_damaged_files_go_whole_and_are_named(spark, tmp_path):
+    import gzip
+
+    line = '"2021-03-12 10:00:{:02d}";"{}";"u";"#c";"{}"\n'
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    whole = gzip.compress("".join(line.format(i % 60, "a", "fine") for i in range(5_000)).encode())
+    noise = random.Random(2)
+    torn = gzip.compress("".join(line.format(i % 60, "b", noise.random()) for i in range(5_000)).encode())
+    (folder / "a.csv.gz").write_bytes(whole + whole)  # two members are one file
+    (folder / "b.csv.gz").write_bytes(torn[: len(torn) // 2])
+    (folder / "c.csv").write_text('"2021-03-12 10:00:00";"c";"u";"#c";"two\nlines"\n')
+    named = jobs.data(spark, str(folder), ["a", "b", "c"], str(tmp_path / "out"), multi_line=True)
+    assert [n.rsplit("/", 1)[1] for n in named] == ["b.csv.gz"]
+    rows = readers.read_stage(spark, str(tmp_path / "out"))
+    assert {r.channel: r["count"] for r in rows.groupBy("channel").count().collect()} == {"a": 10_000, "c": 1}
+    assert rows.filter("channel = 'c'").first().message == "two\nlines"

@@ -23,6 +23,9 @@ def test_word_tokens_round_trip(texts):
     assert tokens.decode(coded.filter("msg_id = 1"), ["msg_id"], vocabulary).first().text == "<cls> le chien dort <sep>"
     sizes = {r.tokens: r.size for r in tokens.tokens_by_channel(coded).collect()}
     assert sizes["chat"] == 32 and sizes["<cls>"] == 40
+    counted = tokens.most_used_first(tokens.word_uses_by_channel(texts, vocabulary)).collect()
+    assert sorted(map(tuple, counted)) == sorted(map(tuple, tokens.tokens_by_channel(coded).collect()))
+    assert [(r.channel, -r.size) for r in counted] == sorted((r.channel, -r.size) for r in counted)
 
 
 def test_masked_examples(spark):
