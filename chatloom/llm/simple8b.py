@@ -32,8 +32,7 @@ def _selectors(values: np.ndarray) -> np.ndarray:
         fits = fits[:, :BLOCK]
         if not fits.any():
             break  # what needs fewer bits for more values fits nowhere either
-        # from here on selectors only fall, and a smaller one is right wherever it fits
-        np.minimum(chosen, np.where(fits, np.uint8(selector), np.uint8(ESCAPE)), out=chosen)
+        np.copyto(chosen, np.uint8(selector), where=fits)  # selectors fall, and a smaller one is right where it fits
     return chosen
 
 

@@ -17,7 +17,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,9 @@ from chatloom.llm.files import WholeFile, place
 from chatloom.llm.simple8b import pack, unpack
 
 MAGIC = b"WORDS8B1"
-FILE_IDS = 4_000_000
-MEMO = 500_000
+FILE_IDS = 2_000_000
+MEMO = 1_600_000
+CLOSING = b".,!?;:"
 FILES = "part int, seq int, path string, n_docs bigint, n_ids bigint"
 
 
@@ -38,7 +38,8 @@ class WordEncoder:
     """Ids of a text by the tokenizers library, one call per distinct run of non-blanks.
 
     The library drops ASCII blanks and nothing it matches spans one, so the ids of a text are those of
-    its runs one after the other.
+    its runs one after the other. It also cuts between a letter and closing marks at a run's end, which
+    are looked up on their own. Runs are kept in two generations of ``limit / 2`` at most.
     """
 
     def __init__(self, path: str, limit: int = MEMO):
@@ -48,22 +49,46 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[bytes, tuple[int, ...]] = {}
-        self.limit = limit
-
-    def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
-        runs = [t.encode().split() for t in texts]
-        fresh = set().union(*runs).difference(self.known)
-        if len(self.known) + len(fresh) > self.limit:
-            self.known.clear()
-            fresh = set().union(*runs)
-        fresh = list(fresh)
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.half = limit // 2
+
+    def _learn(self, runs: set[bytes]) -> None:
+        """Ids of runs that are not known, as little-endian 32-bit integers."""
+        if len(self.known) + len(runs) > self.half:
+            self.old, self.known = self.known, {}
+        known, old, fresh, composed = self.known, self.old, [], []
+        for run in runs:
+            ids = old.get(run)
+            if ids is not None:
+                known[run] = ids
+                continue
+            body = run.rstrip(CLOSING)
+            if len(body) < len(run) and body and body[-1:].isalpha():  # bytes: ASCII letters only
+                composed.append((run, body, run[len(body) :]))
+            else:
+                fresh.append(run)
+        parts = {part for _, *both in composed for part in both}.difference(known, fresh)
+        for part in list(parts):
+            if part in old:
+                known[part] = old[part]
+                parts.discard(part)
+        fresh += parts
         for start in range(0, len(fresh), 20_000):
             some = fresh[start : start + 20_000]
             found = self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update(zip(some, (tuple(e.ids) for e in found)))
-        of = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(of, words)), (end,)), np.uint32) for words in runs]
+            known.update(zip(some, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found)))
+        known.update((run, known[body] + known[tail]) for run, body, tail in composed)
+
+    def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
+        runs = [t.encode().split() for t in texts]
+        wanted = set().union(*runs)
+        fresh = wanted.difference(self.known)
+        if len(self.known) + len(fresh) > self.half:
+            fresh = wanted  # the young generation starts anew with all that is wanted now
+        self._learn(fresh)
+        of, last = self.known.__getitem__, np.array([end], "<u4").tobytes()
+        return [np.frombuffer(b"".join([*map(of, words), last]), "<u4") for words in runs]
 
 
 def write_ids(folder: str, name: str, doc_ids: list, ids: list[np.ndarray]) -> str:
@@ -115,8 +140,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int, folder: st
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start in range(0, len(texts), 500):
-                for doc_id, ids in zip(doc_ids[start : start + 500], encode(texts[start : start + 500], end)):
+            for start in range(0, len(texts), 2_000):
+                for doc_id, ids in zip(doc_ids[start : start + 2_000], encode(texts[start : start + 2_000], end)):
                     held_docs.append(doc_id)
                     held.append(ids)
                     size += len(ids)
@@ -141,7 +166,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
     placed = files.withColumn("inside", inside).join(before, "part")
-    placed = placed.select("path", (F.col("before") + F.col("inside")).alias("base")).repartition("path")
+    placed = placed.select("path", (F.col("before") + F.col("inside")).alias("base"))
+    # a number keeps Spark from merging these few small rows: each stands for a file to read
+    placed = placed.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -214,7 +214,9 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return files.select("path").repartition("path").mapInArrow(run, schema)
+    # a number keeps Spark from merging these few small rows: each stands for a file to read
+    spread = files.select("path").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    return spread.mapInArrow(run, schema)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
