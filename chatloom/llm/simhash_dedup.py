@@ -151,12 +151,16 @@ def near_duplicate_summary(docs: DataFrame) -> DataFrame:
     return near_duplicate_groups(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group: the smallest ``doc_id``, of equal ones the smallest text hash, once."""
-    groups = near_duplicate_groups(docs)
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each ``component`` of ``groups`` the row of ``docs`` with the smallest ``doc_id`` and text hash, once."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     stay = groups.groupBy("component").agg(F.min(order).alias("stay")).select(F.col("stay.doc_id").alias("_s_doc"), F.col("stay.text_key").alias("_s_text"))
     keyed = docs.withColumn("_s_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_s_doc")) & (F.col("_s_key") == F.col("_s_text"))
     once = keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_s_key"])
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group: the smallest ``doc_id``, of equal ones the smallest text hash, once."""
+    return keep_first(docs, near_duplicate_groups(docs))
