@@ -3,7 +3,7 @@
 A byte-pair vocabulary spends few tokens on anything people write often and about one token per
 character or two on random strings. Candidates are runs of key-like characters that mix classes; those
 with fewer than ``ratio`` characters per token are secrets unless they are a known kind of identifier:
-a digest of a usual length, a UUID, a version, date or number, or a name made of plain words. Spans of
+a digest of a usual length, a UUID, a version, date or number, or a name made of words that pack well themselves. Spans of
 the patterns always stay; a span of the token test that overlaps one of them adds nothing and is left out.
 
 Null and empty texts have no spans. Offsets count code points, ends are exclusive. Repeated rows give
@@ -36,6 +36,8 @@ HEX_ANY = r"(?:0x)?[0-9a-fA-F]+"
 #: Words of one case with at most a short number behind, joined by separators: paths, slugs, constants.
 NAME = r"[_/+=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)\d{0,4}|\d{1,8})(?:[_/+=-]+(?:(?:[A-Z]?[a-z]+|[A-Z]+)\d{0,4}|\d{1,8}))*[_/+=-]*"
 
+LEAST_WORD = 4
+
 
 class Scanner:
     def __init__(self, ranks_path: str, pattern: str, ratio: float):
@@ -51,6 +53,7 @@ class Scanner:
         self.hex = re.compile(HEX[:-1] + "{%d,}" % LEAST_HEX)
         self.candidate = re.compile(CANDIDATE)
         self.uuid, self.hex_any, self.name = (re.compile(p) for p in (UUID, HEX_ANY, NAME))
+        self.letters = re.compile("[A-Za-z]+")
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         spans = [(m.start(), 0, m.end()) for m in self.assign.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
@@ -61,10 +64,15 @@ class Scanner:
 
     def known(self, run: str) -> bool:
         """Digests and identifiers that are random by nature but no secrets."""
-        if self.uuid.fullmatch(run) or self.name.fullmatch(run):
+        if self.uuid.fullmatch(run) or (self.name.fullmatch(run) and self.readable(run)):
             return True
         return bool(self.hex_any.fullmatch(run)) and len(run.removeprefix("0x")) in DIGEST_LENGTHS
 
+    def readable(self, name: str) -> bool:
+        """Whether the words of a name pack like words; shorter ones than ``LEAST_WORD`` tell nothing."""
+        words = [w for w in self.letters.findall(name) if len(w) >= LEAST_WORD]
+        return sum(map(len, words)) >= self.ratio * sum(len(self.vocabulary.encode_ordinary(w)) for w in words)
+
     def random(self, run: str) -> bool:
         if self.known(run):
             return False
