@@ -1,10 +1,11 @@
 """Secrets in texts: three patterns, and random strings told by how badly a vocabulary packs them.
 
 A byte-pair vocabulary spends few tokens on anything people write often and about one token per
-character or two on random strings. Candidates are runs of key-like characters that mix classes; those
-with fewer than ``ratio`` characters per token are secrets unless they are a known kind of identifier:
-a digest of a usual length, a UUID, a version, date or number, or a name made of words that pack well themselves. Spans of
-the patterns always stay; a span of the token test that overlaps one of them adds nothing and is left out.
+character or two on random strings. Candidates are runs of key-like characters; those with fewer than
+``ratio`` characters per token are secrets unless they are a known kind of identifier: a digest of a usual
+length, a UUID, a version, date or number, or a name made of words that pack well themselves. Of a run that
+packs well as a whole the windows of 20 characters that don't are secrets. Spans of the patterns always
+stay; what they leave of a run is judged by itself.
 
 Null and empty texts have no spans. Offsets count code points, ends are exclusive. Repeated rows give
 repeated results; texts of any length are scanned whole.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -27,7 +29,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_RUN = 20
+CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN
 RATIO = 1.9
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
@@ -53,7 +56,7 @@ class Scanner:
         self.hex = re.compile(HEX[:-1] + "{%d,}" % LEAST_HEX)
         self.candidate = re.compile(CANDIDATE)
         self.uuid, self.hex_any, self.name = (re.compile(p) for p in (UUID, HEX_ANY, NAME))
-        self.letters = re.compile("[A-Za-z]+")
+        self.letters, self.parts = re.compile("[A-Za-z]+"), re.compile("[A-Za-z0-9]+")
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         spans = [(m.start(), 0, m.end()) for m in self.assign.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
@@ -64,7 +67,10 @@ class Scanner:
 
     def known(self, run: str) -> bool:
         """Digests and identifiers that are random by nature but no secrets."""
-        if self.uuid.fullmatch(run) or (self.name.fullmatch(run) and self.readable(run)):
+        return self.identifier(run) or bool(self.name.fullmatch(run) and self.readable(run))
+
+    def identifier(self, run: str) -> bool:
+        if self.uuid.fullmatch(run):
             return True
         return bool(self.hex_any.fullmatch(run)) and len(run.removeprefix("0x")) in DIGEST_LENGTHS
 
@@ -78,14 +84,52 @@ class Scanner:
             return False
         return len(run) < self.ratio * len(self.vocabulary.encode_ordinary(run))
 
+    def stretches(self, run: str) -> list[tuple[int, int]]:
+        """Parts of a run that are random: the whole, or what its windows of ``LEAST_RUN`` characters cover.
+
+        Windows start and end between tokens and may span separators; identifiers inside the run are left out.
+        """
+        if self.random(run):
+            return [(0, len(run))]
+        if self.identifier(run):
+            return []
+        out, at = [], 0
+        kept = [m.span() for m in self.uuid.finditer(run)] + [m.span() for m in self.parts.finditer(run) if self.identifier(m[0])]
+        for start, end in [*sorted(kept), (len(run), len(run))]:
+            if start - at >= LEAST_RUN:
+                out += self.windows(run, at, start)
+            at = max(at, end)
+        return out
+
+    def windows(self, run: str, start: int, end: int) -> list[tuple[int, int]]:
+        tokens = self.vocabulary.decode_tokens_bytes(self.vocabulary.encode_ordinary(run[start:end]))
+        edges = [*accumulate(map(len, tokens), initial=start)]
+        out, last = [], 0
+        for first, left in enumerate(edges):
+            while last < len(edges) and edges[last] - left < LEAST_RUN:
+                last += 1
+            if last == len(edges):
+                break
+            right = edges[last]
+            if right - left < self.ratio * (last - first) and not self.known(run[left:right]):
+                if out and left <= out[-1][1]:
+                    out[-1] = (out[-1][0], right)
+                else:
+                    out.append((left, right))
+        return out
+
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         found, seen, reach = [], 0, 0
         for match in self.candidate.finditer(text):
             start, end = match.span()
+            at, pieces = max(start, reach), []
             while seen < len(base) and base[seen][0] < end:
+                pieces.append((at, base[seen][0]))
                 reach, seen = max(reach, base[seen][2]), seen + 1
-            if reach <= start and self.random(match[0]):
-                found.append((start, 3, end))
+                at = max(at, reach)
+            for left, right in [*pieces, (at, end)]:
+                if right - left >= LEAST_RUN:
+                    found += [(left + s, 3, left + e) for s, e in self.stretches(text[left:right])]
         return found
 
 

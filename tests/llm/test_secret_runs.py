@@ -36,3 +36,16 @@ def test_random_keys_of_one_case_are_found(scanner, letters):
 def test_names_of_words_are_no_secrets(scanner):
     for name in NAMES:
         assert scanner.added(name, scanner.base(name)) == [], name
+
+
+@pytest.mark.parametrize("before", ["com/services/T00000000/B00000000/", "https/internal/build/artifacts/releases/", "/var/www/html/static/images/",
+                                    "files/0123456789abcdef0123456789abcdef/", "configurationmanagement"])
+def test_random_keys_behind_readable_parts_are_found(scanner, before):
+    assert share_found(scanner, ALNUM, before) > 0.95
+    assert share_found(scanner, ALNUM + "+/", before, "/index/pages") > 0.95
+
+
+def test_identifiers_inside_paths_are_no_secrets(scanner):
+    for part in ("e3b0c442-98fc-1c14-9afb-f4c8996fb924", "D41D8CD98F00B204E9800998ECF8427E"):
+        text = f"internal/build/artifacts/releases/pages/documents/{part}/services/documents"
+        assert scanner.added(text, scanner.base(text)) == []
