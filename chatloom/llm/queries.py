@@ -14,14 +14,18 @@ from chatloom.llm.secrets import scan_secrets
 from chatloom.llm.sentencepiece_codec import encoding_summary
 from chatloom.llm.simhash_dedup import near_duplicate_summary
 from chatloom.llm.suffix_dedup import removed_repeats
+from chatloom.llm.token_alignment import token_alignment
 from chatloom.llm.token_counts import token_counts
 from chatloom.llm.token_files import token_file_round_trip
+from chatloom.llm.toxicity import scored_documents
 from chatloom.llm.warc import archive_round_trip
+from chatloom.llm.whitening import whitened_embeddings
 from chatloom.session import ready
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 MAX_TOKENS = 4096
 END_ID = 1
 
@@ -71,6 +75,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_summary(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"), BYTES, PIECES, (RANKS, public_tokenizers.PATTERN))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
@@ -82,6 +98,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
