@@ -7,10 +7,10 @@ at most one bit share a key: the nearest codeword of either is within 4 bits of
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
+from chatloom.llm.base import per_process
+
 #: Fixed values of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 BITS, DATA = 23, 12
@@ -25,9 +25,12 @@ def syndrome(words: np.ndarray) -> np.ndarray:
     return left
 
 
-@cache
 def patterns() -> np.ndarray:
     """By syndrome, the error patterns of at most 4 bits that lead to codewords; padded with -1 to six."""
+    return per_process(("golay patterns",), _patterns)
+
+
+def _patterns() -> np.ndarray:
     single = 1 << np.arange(BITS, dtype=np.int64)
     all_patterns, last = [np.zeros(1, np.int64)], np.zeros((1, 2), np.int64)
     for _ in range(4):

@@ -23,7 +23,7 @@ from pyspark.sql.types import StringType
 from chatloom.llm.base import sha256_text, stored
 
 MIN_SITES = 10
-MIN_CHARS = 24
+MIN_CHARS = 1
 SKETCH_BITS = 12
 BAND = 0.2
 BLANKS = " \t\r\x0b\x0c"
@@ -78,18 +78,19 @@ def _without(texts: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(texts, places)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, plus ``_removed``, the number of lines lost.
+def dedup_lines(
+    docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, removed: str = "_removed"
+) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``, plus ``removed``, the number of lines lost.
 
     All other columns stay. Texts move once, to meet the line numbers by document.
     """
-    gone = removed_places(docs, site, min_sites, min_chars).select(
-        F.col("doc_id").alias("_l_doc"), F.col("text_key").alias("_l_text"), F.col("places").alias("_l_places")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_l_doc")) & (_text_key(F.col("text")) == F.col("_l_text"))
-    joined = docs.join(gone, same, "left")
-    columns = [_without("text", "_l_places").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size("_l_places"), F.lit(0)).cast("bigint").alias("_removed"))
+    gone = removed_places(docs, site, min_sites, min_chars).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"), "places")
+    # the row travels in one struct: its columns may have any names
+    rows = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text")), "left")
+    columns = [_without("row.text", "places").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*columns, F.coalesce(F.size("places"), F.lit(0)).cast("bigint").alias(removed))
 
 
 def line_dedup_summary(docs: DataFrame, **parameters) -> DataFrame:

@@ -76,6 +76,10 @@ class Memo(dict):
         super().__init__()
         self.function, self.half, self.old = function, limit // 2, {}
 
+    def forget(self, key) -> None:
+        self.pop(key, None)
+        self.old.pop(key, None)
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:

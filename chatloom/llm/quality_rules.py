@@ -201,14 +201,13 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 30) -
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs`` with all their columns.
 
-    The second pass measures the texts again instead of joining verdicts to them: a filter, no shuffle.
+    Rows that pass the base rules are stored with their votes, so texts are measured once.
     """
-    slim = with_votes(text_measures(docs)).select("votes", base_failed().alias("base_failed"))
-    slim = stored(slim, "quality-votes").filter(~F.col("base_failed"))
-    patterns = stored(slim.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
-    quality = posterior(estimate(patterns, len(RULES)))
     rows = with_votes(text_measures(docs, carry=True)).withColumn("base_failed", base_failed())
     # a filter stays above a column of row numbers that it reads; pushed down, it would write out all
     # measures anew at each use of a vote
-    rows = rows.withColumn("_at", F.monotonically_increasing_id())
-    return rows.filter(~F.col("base_failed") & (quality >= 0.5) & (F.col("_at") >= 0)).select("_row.*")
+    rows = rows.withColumn("_at", F.monotonically_increasing_id()).filter(~F.col("base_failed") & (F.col("_at") >= 0))
+    rows = stored(rows.select("votes", "_row"), "quality-rows")
+    patterns = stored(rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
+    quality = posterior(estimate(patterns, len(RULES)))
+    return rows.filter(quality >= 0.5).select("_row.*")

@@ -4,7 +4,7 @@ A byte-pair vocabulary spends few tokens on anything people write often and abou
 character or two on random strings. Candidates are runs of key-like characters; those with fewer than
 ``ratio`` characters per token are secrets unless they are a known kind of identifier: a digest of a usual
 length, a UUID, a version, date or number, or a name made of words that pack well themselves. Of a run that
-packs well as a whole the windows of 20 characters that don't are secrets. Spans of the patterns always
+packs well as a whole the windows of 16 characters that don't are secrets. Spans of the patterns always
 stay; what they leave of a run is judged by itself.
 
 Null and empty texts have no spans. Offsets count code points, ends are exclusive. Repeated rows give
@@ -29,7 +29,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 
-LEAST_RUN = 20
+LEAST_RUN = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN
 RATIO = 1.9
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.

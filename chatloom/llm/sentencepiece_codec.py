@@ -4,7 +4,8 @@ A text is normalised as the model says, cut into segments no merge can cross, an
 encoded by an agenda: all adjacent pairs that form a piece wait in a heap by score, the best and then
 leftmost is merged, and the pairs it forms with its neighbours join the heap. Symbols without a piece
 become their UTF-8 bytes. Every segment with a part that is new to a worker is checked against the
-sentencepiece library, batch by batch; ``agrees`` tells of each text whether all its segments did so far.
+sentencepiece library, batch by batch. Where the library has other ids these are taken, and the batch is encoded
+again; ``agrees`` tells of each text whether that was needed for none of its segments.
 
 Null and empty texts give the end id only. Repeated rows give repeated results. A text of any length
 is encoded whole; work is n log n in the longest segment. Other columns of the input are ignored.
@@ -86,7 +87,7 @@ class Codec:
         self.segments = Memo(self._segment, SEGMENT_MEMO)
         self.fresh: set[str] = set()
         self.new_part = False
-        self.wrong: set[str] = set()
+        self.wrong: dict[str, tuple[int, ...]] = {}  # the library's ids of segments that came out otherwise
         self.end = self.model.library.eos_id()
         self.digits = [str(i) for i in range(self.model.library.get_piece_size())]
 
@@ -95,6 +96,8 @@ class Codec:
         return agenda_encode(part, self.model)
 
     def _segment(self, segment: str) -> tuple[int, ...]:
+        if segment in self.wrong:
+            return self.wrong[segment]
         self.new_part = False
         parts = self.model.parts(segment)
         ids = self.parts[segment] if len(parts) == 1 else tuple(chain.from_iterable(map(self.parts.__getitem__, parts)))
@@ -107,17 +110,21 @@ class Codec:
         found.append(self.end)
         return found
 
-    def check(self) -> None:
-        """Segments with parts that were new since the last check, against the library."""
+    def check(self) -> bool:
+        """Whether all segments with parts that were new since the last check are as the library has them."""
         # the library puts a blank sign in front of a text, and gives a lone one no ids
         fresh, self.fresh = [s for s in self.fresh if s[0] == SPACE != s], set()
         found = self.model.library.encode([s[1:].replace(SPACE, " ") for s in fresh], num_threads=1)
+        right = True
         for segment, ids in zip(fresh, found):
             if tuple(chain.from_iterable(map(self.parts.__getitem__, self.model.parts(segment)))) != tuple(ids):
-                self.wrong.add(segment)
+                self.wrong[segment] = tuple(ids)
+                self.segments.forget(segment)
+                right = False
+        return right
 
     def agrees(self, normalized: str) -> bool:
-        return not self.wrong or self.wrong.isdisjoint(self.model.segments(normalized))
+        return not self.wrong or self.wrong.keys().isdisjoint(self.model.segments(normalized))
 
 
 def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
@@ -127,7 +134,8 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
         codec = per_process(("codec", model_path), lambda: Codec(model_path))
         normalized = codec.model.library.normalize(batch["text"])
         ids = [codec.ids(t) for t in normalized]
-        codec.check()
+        if not codec.check():
+            ids = [codec.ids(t) for t in normalized]
         return {"doc_id": batch["doc_id"], "ids": ids, "agrees": [codec.agrees(t) for t in normalized]}
 
     return map_batches(whole_texts(docs), run, "doc_id bigint, ids array<int>, agrees boolean")
@@ -151,15 +159,20 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
         codec = per_process(("codec", model_path), lambda: Codec(model_path))
         library, digits = codec.model.library, codec.digits
         normalized = library.normalize(batch["text"])
-        out = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for text in normalized:
-            ids = codec.ids(text)
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(library.decode(ids).encode()).hexdigest())
-        codec.check()
-        out["agrees"] = [codec.agrees(t) for t in normalized]
-        return out
+
+        def rows() -> dict:
+            out = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            for text in normalized:
+                ids = codec.ids(text)
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(library.decode(ids).encode()).hexdigest())
+            return out
+
+        out = rows()
+        if not codec.check():
+            out = rows()
+        return out | {"agrees": [codec.agrees(t) for t in normalized]}
 
     return map_batches(
         whole_texts(docs), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, agrees boolean"

@@ -154,11 +154,13 @@ def near_duplicate_summary(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Of each ``component`` of ``groups`` the row of ``docs`` with the smallest ``doc_id`` and text hash, once."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    stay = groups.groupBy("component").agg(F.min(order).alias("stay")).select(F.col("stay.doc_id").alias("_s_doc"), F.col("stay.text_key").alias("_s_text"))
-    keyed = docs.withColumn("_s_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_s_doc")) & (F.col("_s_key") == F.col("_s_text"))
-    once = keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_s_key"])
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = groups.groupBy("component").agg(F.min(order).alias("stay")).select("stay.doc_id", "stay.text_key")
+    # the row travels in one struct: its columns may have any names
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    same = rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows["text_key"] == stay["text_key"])
+    return rows.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text_key"]).select("row.*")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from chatloom.llm import decontaminate, quality_rules
 from chatloom.llm.queries import ORACLE, REGISTRY
 from tests.llm.conftest import ODD
-from tests.llm.test_dedup import groups_of
+from tests.llm.test_near_copies import groups_by_hand
 from tests.oracle_check import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
@@ -36,8 +36,11 @@ def test_stages_follow_from_each_other(spark):
     assert {r.doc_id for r in second} == kept and all(r.n_chars == len(r.text) for r in second) and out.dtypes == docs.dtypes
     out = near(spark, out, SMALL)
     third = out.collect()
-    staying = {c for _, _, c in groups_of([(r.doc_id, r.text) for r in second])}
-    assert sorted(r.doc_id for r in third) == sorted(staying)
+    cut = [(r.doc_id, " ".join(r.text.encode().lower().decode("utf-8").split())) for r in second]
+    group = groups_by_hand(cut)
+    gone = set(group) - {r.doc_id for r in third}
+    assert not gone & set(group.values()) and len(gone) >= 0.9 * (len(group) - len(set(group.values())))
+    assert all(r == next(s for s in second if s.doc_id == r.doc_id) for r in third)
     out = clean(spark, out, SMALL)
     fourth = out.collect()
     items = decontaminate.Items([(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()], 0.8)
@@ -46,6 +49,30 @@ def test_stages_follow_from_each_other(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == {r.doc_id for r in fourth}
 
 
+def test_queries_run_where_workers_have_no_copy_of_the_package(tmp_path):
+    """Functions travel with their code: a worker that cannot import the package runs every query of this folder."""
+    import os
+    import subprocess
+    from pathlib import Path
+
+    here = str(Path(corpus_pipeline.__file__).parent)
+    code = f"""
+import sys
+sys.path.insert(0, {here!r})
+from chatloom.session import build_session
+import __spark_entry__ as entry
+spark = build_session("bare", master="local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g")
+spark.sparkContext.setLogLevel("OFF")
+for name, query in entry.queries().items():
+    if name.startswith("op") or name == "pipeline":
+        query(spark, {SMALL!r}).write.format("noop").mode("overwrite").save()
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
 def test_stages_take_odd_rows(spark, odd, none):
     for docs in (odd, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
