@@ -32,12 +32,16 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.base import per_process, shared_folder, stored, whole_texts
 from chatloom.llm.files import WholeFile, place
+from chatloom.llm.pieces import Memo
 
 #: Characters of text that are encoded at once (one longer text goes alone).
 BATCH_CHARS = 2_000_000
 CHUNK_PAIRS = 1_000_000
 HELD_CHUNKS = 8
 HELD_LINKS = 4_000_000
+HELD_PAIRS = 1_000_000
+#: A failed step up to this size is searched entry by entry.
+LINEAR = 4
 SPACE = "▁"
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary"
@@ -84,49 +88,24 @@ class TokenizerPair:
             self.a_bytes[n] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(n) for n in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(n) else p.replace(SPACE, " ").encode() for n, p in enumerate(pieces)]
+        self.one_to_one = Memo("%d|%d".__mod__, HELD_PAIRS)
         self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
 
-    def a_encode(self, texts: list[str]) -> list[list[int]]:
-        slow = [n for n, t in enumerate(texts) if self.a_fast is None or BEYOND_LATIN.search(t)]
-        out = dict(zip(slow, (e.ids for e in self.a.encode_batch_fast([" " + texts[n] for n in slow], add_special_tokens=False))))
-        return [out[n] if n in out else self.a_fast.encode_ordinary(" " + t) for n, t in enumerate(texts)]
-
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of both for each text; none for both where the bytes are not those of the space and the text."""
-        a_ids = self.a_encode(texts)
+        slow = [n for n, t in enumerate(texts) if self.a_fast is None or BEYOND_LATIN.search(t)]
+        by_library = dict(zip(slow, (e.ids for e in self.a.encode_batch_fast([" " + texts[n] for n in slow], add_special_tokens=False))))
         a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        for text, a, b in zip(texts, a_ids, self.b.encode(texts, num_threads=1)):
-            raw = b" " + text.encode()
-            same = text and b"".join(map(a_bytes, a)) == raw and b"".join(map(b_bytes, b)) == raw
+        for n, (text, b) in enumerate(zip(texts, self.b.encode(texts, num_threads=1))):
+            raw, a = b" " + text.encode(), by_library.get(n)
+            same = text and b"".join(map(b_bytes, b)) == raw
+            if a is None:
+                a = self.a_fast.encode_ordinary(" " + text)  # ranks of all bytes: tiktoken drops and changes none
+            else:
+                same = same and b"".join(map(a_bytes, a)) == raw
             yield (a, b) if same else ([], [])
 
 
-def equal_stretch(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many entries from ``a[i]`` and ``b[j]`` on are equal, by probes of doubling and then halving size."""
-    start, step, most = i, 1, min(len(a) - i, len(b) - j)
-    most += i
-    while i < most:
-        if i + step > most:
-            step = most - i
-        if a[i : i + step] != b[j : j + step]:
-            break
-        i += step
-        j += step
-        step *= 2
-    else:
-        return i - start
-    while step > 1:
-        step //= 2
-        if a[i : i + step] == b[j : j + step]:
-            i += step
-            j += step
-    # halving from a step that was no power of two can leave equal entries behind
-    while i < most and a[i] == b[j]:
-        i += 1
-        j += 1
-    return i - start
-
-
 def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], list[tuple[int, int, int, int, int]]]:
     """Links as two lists of token places, and stretches ``(i, i_end, j, j_end, groups)``.
 
@@ -136,13 +115,25 @@ def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], l
     n, i, j = len(a_ends), 0, 0
     a_links, b_links, stretches = [], [], []
     while i < n:
-        run = equal_stretch(a_ends, b_ends, i, j)
-        if run:
-            stretches.append((i, i + run, j, j + run, run))
-            a_links += range(i, i + run)
-            b_links += range(j, j + run)
-            i += run
-            j += run
+        i0, j0, step = i, j, 1
+        while i < n and a_ends[i : i + step] == b_ends[j : j + step]:
+            i += step
+            j += step
+            step *= 2
+        while step > LINEAR:  # the failed step holds the first difference: halve it, then go entry by entry
+            step //= 2
+            if a_ends[i : i + step] == b_ends[j : j + step]:
+                i += step
+                j += step
+        if i >= n:  # slices end with the arrays, which end together
+            i, j = n, len(b_ends)
+        while i < n and a_ends[i] == b_ends[j]:
+            i += 1
+            j += 1
+        if i > i0:
+            stretches.append((i0, i, j0, j, i - i0))
+            a_links += range(i0, i)
+            b_links += range(j0, j)
             if i == n:
                 break
         i0, j0, x, y = i, j, a_ends[i], b_ends[j]
@@ -163,14 +154,12 @@ def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], l
     return a_links, b_links, stretches
 
 
-def group_text(a: list[int], b: list[int], stretches: list[tuple[int, int, int, int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    out = []
+def group_text(a: list[int], b: list[int], stretches: list[tuple[int, int, int, int, int]], one_to_one: dict) -> str:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group; ``one_to_one`` writes a pair of ids."""
+    out, written = [], one_to_one.__getitem__
     for i, i_end, j, j_end, n in stretches:
         if n > 1 or i_end - i == j_end - j == 1:
-            pairs = [0] * (2 * n)
-            pairs[::2], pairs[1::2] = a[i:i_end], b[j:j_end]
-            out.append(";".join(["%d|%d"] * n) % tuple(pairs))
+            out += map(written, zip(a[i:i_end], b[j:j_end]))
         else:
             out.append(",".join(map(str, a[i:i_end])) + "|" + ",".join(map(str, b[j:j_end])))
     return ";".join(out)
@@ -209,7 +198,7 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str, ranks: tuple[st
         a_ids, b_ids = np.array(a, np.uint64), np.array(b, np.uint64)
         a_links, b_links, stretches = align(np.cumsum(pair.a_size[a_ids]).tolist(), np.cumsum(pair.b_size[b_ids]).tolist())
         keys = a_ids[np.array(a_links, np.int64)] << np.uint64(24) | b_ids[np.array(b_links, np.int64)]
-        digest = hashlib.sha256(group_text(a, b, stretches).encode()).hexdigest()
+        digest = hashlib.sha256(group_text(a, b, stretches, pair.one_to_one).encode()).hexdigest()
         return len(a), len(b), sum(s[4] for s in stretches), len(a_links), digest, packed_links(keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
