@@ -13,7 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import vectors as V
@@ -255,26 +255,72 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     )
 
 
+def core_distances(
+    points: DataFrame, copies: DataFrame, min_samples: int, reach: float, pivots: int | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """``msg_id, core``: distance to the ``min_samples``-th other row, where it is at most ``reach``.
+
+    ``points`` are different vectors and ``copies`` (``msg_id, n``) tells how many rows each stands for. Each block
+    sends a row's distances to its nearest ``min_samples`` residents and their copies.
+    """
+    cells = build_cells(points.select("msg_id", "vector"), pivots, block_rows)
+    visits = _visits(cells, cells.rows.select("msg_id", "vector", F.lit(float(reach)).alias("reach")))
+
+    def near(guests: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
+        if not len(guests) or not len(residents):
+            return pd.DataFrame({"msg_id": [], "other": [], "distance": []})
+        gaps = _distances(_matrix(guests["vector"]), _matrix(residents["point"]))
+        some = min(min_samples, gaps.shape[1] - 1)
+        closest = np.argpartition(gaps, some, axis=1)[:, : some + 1]
+        rows, columns = np.repeat(np.arange(len(gaps)), some + 1), closest.ravel()
+        kept = gaps[rows, columns] <= reach
+        rows, columns = rows[kept], columns[kept]
+        return pd.DataFrame({"msg_id": guests["msg_id"].to_numpy()[rows], "other": residents["id"].to_numpy()[columns], "distance": gaps[rows, columns]})
+
+    met = _meet(cells, visits, near, "msg_id bigint, other bigint, distance double", block_rows)
+    counted = met.join(copies.select(F.col("msg_id").alias("other"), "n"), "other")
+    # a row does not count itself, its copies do
+    counted = counted.withColumn("n", F.when(F.col("msg_id") == F.col("other"), F.col("n") - 1).otherwise(F.col("n")))
+    upto = F.sum("n").over(Window.partitionBy("msg_id").orderBy("distance", "other"))
+    return counted.withColumn("upto", upto).filter(F.col("upto") >= min_samples).groupBy("msg_id").agg(F.min("distance").alias("core"))
+
+
 def density_clusters(
-    points: DataFrame, epsilon: float = 0.5, min_cluster_size: int = 5, pivots: int | None = None, block_rows: int = BLOCK_ROWS
+    points: DataFrame,
+    epsilon: float = 0.5,
+    min_cluster_size: int = 5,
+    pivots: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+    min_samples: int | None = None,
 ) -> DataFrame:
     """``msg_id, labels``: rows linked through gaps of at most ``epsilon``; small groups are -1.
 
-    Labels are numbered by size, largest first. Equal vectors are collapsed to one row beforehand.
+    With ``min_samples`` gaps are mutual reachability distances, the largest of the distance and both core distances
+    (to the ``min_samples``-th other row): rows in thinner places than ``epsilon`` are noise and link nothing, so
+    chains of single rows do not join dense groups. Labels are numbered by size, largest first. Equal vectors are
+    collapsed to one row beforehand.
     """
     rows = points.select("msg_id", F.col("vector").cast("array<double>").alias("vector"))
     unique = rows.groupBy("vector").agg(F.min("msg_id").alias("_first"), F.count(F.lit(1)).alias("_copies"))
     unique = cut_lineage(unique)
     singles = unique.select(F.col("_first").alias("msg_id"), "vector")
+    if min_samples:
+        copies = unique.select(F.col("_first").alias("msg_id"), F.col("_copies").alias("n"))
+        cores = cut_lineage(core_distances(singles, copies, min_samples, epsilon, pivots, block_rows))
+        singles = cut_lineage(singles.join(cores.select("msg_id"), "msg_id"))
+        dense = singles.select(F.col("msg_id").alias("_core"))
+    if min_samples and singles.isEmpty():
+        return rows.select("msg_id", F.lit(-1).alias("labels"))
     parts = connected_components(close_links(singles, epsilon, pivots, block_rows))
-    placed = unique.join(parts, unique["_first"] == parts["node"], "left").select(
-        "vector", "_copies", F.coalesce("component", "_first").alias("component")
-    )
+    placed = unique.join(parts, unique["_first"] == parts["node"], "left")
+    if min_samples:
+        placed = placed.join(dense, F.col("_first") == F.col("_core"), "left_semi")
+    placed = placed.select("vector", "_copies", F.coalesce("component", "_first").alias("component"))
     sizes = placed.groupBy("component").agg(F.sum("_copies").alias("_size"))
     large = sizes.filter(F.col("_size") >= min_cluster_size).withColumn("_order", -F.col("_size"))
     named = with_rank(large, ["_order", "component"], "labels").select("component", F.col("labels").cast("int").alias("labels"))
-    labelled = placed.join(named, "component", "left").select("vector", F.coalesce("labels", F.lit(-1)).alias("labels"))
-    return rows.join(labelled, "vector").select("msg_id", "labels")
+    labelled = placed.join(named, "component").select("vector", "labels")
+    return rows.join(labelled, "vector", "left").select("msg_id", F.coalesce("labels", F.lit(-1)).alias("labels"))
 
 
 def label_distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

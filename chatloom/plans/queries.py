@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import text
 from chatloom.functions.times import micros
 from chatloom.operators import clusters as C
+from chatloom.operators import descent
 from chatloom.operators import neighbors as N
 from chatloom.operators import prepare as P
 from chatloom.operators import sampling, terms, timeline, tokens, unigram, vectors
@@ -17,9 +18,9 @@ from chatloom.operators import windows as W
 from chatloom.operators.profile import cluster_profile, describe_topics
 from chatloom.plans import jobs
 from chatloom.schema import SPECIAL_TOKENS
-from chatloom.session import cut_lineage, ready
+from chatloom.session import cut_lineage, ready, shared_path
 from chatloom.sources import sample_chat as S
-from chatloom.sources import writers
+from chatloom.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -342,6 +343,31 @@ def density_clusters(spark, sf_dir):
     return N.density_clusters(S.vectors_with_labels(spark, sf_dir), 1.14)
 
 
+@query
+def core_density_clusters(spark, sf_dir):
+    return N.density_clusters(S.vectors_with_labels(spark, sf_dir), 1.15, min_samples=3)
+
+
+@query
+def neighbor_descent(spark, sf_dir):
+    return descent.neighbor_descent(S.vectors_with_labels(spark, sf_dir), 15)
+
+
+@query
+def quoted_chat_csv(spark, sf_dir):
+    """Documents as messages with quotes, separators and line breaks, written as CSV and read back in splits."""
+    folder = shared_path(spark, "quoted-chat")
+    docs = S.table(spark, sf_dir, "documents")
+    message = F.concat(F.coalesce("source", F.lit("")), F.lit(': "'), F.coalesce("text", F.lit("")), F.lit('";\n"'))
+    rows = docs.select(
+        F.lit("2024-01-01 00:00:00").alias("published_datetime"), F.lit("all").alias("channel"), F.col("doc_id").cast("string").alias("username"),
+        F.lit("#all").alias("channel_2"), message.alias("message"),
+    )
+    rows.write.options(sep=";", quote='"', escape='"').csv(folder)
+    read = readers.read_chat_csv(spark, folder, multi_line=True)
+    return read.select("username", F.length("message").cast("bigint").alias("n_chars"), F.md5("message").alias("digest"))
+
+
 # ---- clusters
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -41,13 +43,18 @@ def ready(spark: SparkSession) -> SparkSession:
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
                 raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
             folder = tempfile.mkdtemp(prefix="chatloom-checkpoint-")
         context.setCheckpointDir(folder)
     return spark
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{ready(spark).sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder: survives the loss of executors."""
     ready(df.sparkSession)

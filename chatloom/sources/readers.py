@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatloom.operators.ordering import with_rank
 from chatloom.schema import CHAT_RAW, SPECIAL_TOKENS
+from chatloom.sources.quoted_lines import read_records
 
 
 def read_chat_csv(
@@ -23,25 +24,22 @@ def read_chat_csv(
     A doubled quote is a quote and a backslash is a plain character. With ``channels``, only files
     ``{channel}.csv*`` of the folder are read. Compressed files that break off or are damaged are left out
     whole, see :func:`damaged_files`. A file with a date that cannot be parsed is left out whole
-    (``drop_file``) or loses these rows (``drop_rows``). ``multi_line`` reads line breaks inside quotes.
+    (``drop_file``) or loses these rows (``drop_rows``). ``multi_line`` reads line breaks inside quotes, by many tasks per file, see :mod:`chatloom.sources.quoted_lines`.
     """
     if on_bad_file not in ("drop_file", "drop_rows"):
         raise ValueError(f"unknown on_bad_file {on_bad_file!r}")
     names = CHAT_RAW.fieldNames()
-    reader = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .option("sep", ";")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("ignoreCorruptFiles", True)  # the rows before the damage go below, with their file
-        .option("mode", "PERMISSIVE")
-    )
-    if channels:
-        reader = reader.option("pathGlobFilter", "{" + ",".join(channels) + "}.csv*")
-    raw = reader.csv(path).withColumn("file", F.col("_metadata.file_path")).withColumn(
-        "_block", F.col("_metadata.file_block_start")
-    ).withColumn("_row", F.monotonically_increasing_id())
+    schema, dialect = ", ".join(f"{n} string" for n in names), {"sep": ";", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    glob = "{" + ",".join(channels) + "}.csv*" if channels else None
+    if multi_line:
+        raw = read_records(spark, path, glob).withColumn("_of", F.from_csv("record", schema, dialect)).select("_of.*", "file", "_block", "_row")
+    else:
+        reader = spark.read.schema(schema).options(**dialect).option("ignoreCorruptFiles", True)  # the rows before the damage go below, with their file
+        if glob:
+            reader = reader.option("pathGlobFilter", glob)
+        raw = reader.csv(path).withColumn("file", F.col("_metadata.file_path")).withColumn(
+            "_block", F.col("_metadata.file_block_start")
+        ).withColumn("_row", F.monotonically_increasing_id())
     raw = raw.join(damaged_files(spark, path, channels), "file", "left_anti")
     parsed = raw.withColumn("_at", F.try_to_timestamp("published_datetime"))
     unparsed = F.col("published_datetime").isNotNull() & F.col("_at").isNull()
