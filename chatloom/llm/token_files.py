@@ -29,6 +29,7 @@ from chatloom.llm.simple8b import pack, unpack
 
 MAGIC = b"WORDS8B1"
 FILE_IDS = 2_000_000
+TEXT_BYTES = 8_000_000
 MEMO = 1_600_000
 CLOSING = b".,!?;:"
 FILES = "part int, seq int, path string, n_docs bigint, n_ids bigint"
@@ -80,15 +81,28 @@ class WordEncoder:
             known.update(zip(some, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found)))
         known.update((run, known[body] + known[tail]) for run, body, tail in composed)
 
-    def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
-        runs = [t.encode().split() for t in texts]
-        wanted = set().union(*runs)
-        fresh = wanted.difference(self.known)
+    def __call__(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """Ids of each text with ``end`` behind. Runs are cut and numbered by Arrow; only different ones are looked up."""
+        import pyarrow.compute as pc
+
+        cut = pc.ascii_split_whitespace(texts)
+        numbered = cut.flatten().dictionary_encode()
+        runs = numbered.dictionary.cast(pa.binary()).to_pylist()
+        fresh = set(runs).difference(self.known)
         if len(self.known) + len(fresh) > self.half:
-            fresh = wanted  # the young generation starts anew with all that is wanted now
-        self._learn(fresh)
-        of, last = self.known.__getitem__, np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(of, words), last]), "<u4") for words in runs]
+            fresh = set(runs)  # the young generation starts anew with all that is wanted now
+        self._learn(fresh - {b""})
+        self.known[b""] = b""  # what stands before a leading and behind a trailing blank
+        found = [*map(self.known.__getitem__, runs), np.array([end], "<u4").tobytes()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        borders = np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))
+        order = np.insert(numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64), borders, len(runs))
+        many = sizes[order]
+        upto = np.cumsum(many)
+        out = ids[np.repeat(starts[order] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = upto[borders + np.arange(len(borders))]  # behind the end id of each text
+        return np.split(out, ends[:-1]) if len(ends) else []
 
 
 def write_ids(folder: str, name: str, doc_ids: list, ids: list[np.ndarray]) -> str:
@@ -124,6 +138,20 @@ def read_ids(uri: str) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(d) if t else None for d, t in zip(names, there)], counts, values
 
 
+def stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``TEXT_BYTES`` together, or of one longer text."""
+    import pyarrow.compute as pc
+
+    sizes, start, held = pc.binary_length(texts).to_numpy(zero_copy_only=False), 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > start and held + size > TEXT_BYTES:
+            yield start, at
+            start, held = at, 0
+        held += size
+    if len(sizes):
+        yield start, len(sizes)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end: int, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
     """The table of written files, in document order by ``part, seq``."""
 
@@ -139,9 +167,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int, folder: st
             rows.append((part, len(rows), uri, len(held_docs), size))
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start in range(0, len(texts), 2_000):
-                for doc_id, ids in zip(doc_ids[start : start + 2_000], encode(texts[start : start + 2_000], end)):
+            doc_ids = batch.column(0).to_pylist()
+            for start, stop in stretches(batch.column(1)):
+                for doc_id, ids in zip(doc_ids[start:stop], encode(batch.column(1).slice(start, stop - start), end)):
                     held_docs.append(doc_id)
                     held.append(ids)
                     size += len(ids)

@@ -37,6 +37,9 @@ def test_archives_hold_every_page_once(spark, tmp_path):
         assert magic == 0x184D2A5D and size > 0
         archive.read(size)
         assert archive.read(4) == struct.pack("<I", zstandard.MAGIC_NUMBER)
+    clashing = frame.selectExpr("*", "1 as payload", "'x' as record_type", "2 as refers_to", "'y' as digest", "3 as first")
+    plain = sorted(map(tuple, warc.archive_round_trip(frame).select("page_id", "payload_digest", "record_type", "refers_to").collect()), key=str)
+    assert sorted(map(tuple, warc.archive_round_trip(clashing).select("page_id", "payload_digest", "record_type", "refers_to").collect()), key=str) == plain
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
@@ -72,3 +75,46 @@ def test_spans_of_patterns_and_of_the_token_test(spark, odd, none):
     assert added == ["qX7vLp2ZkR9tWm4cYb8NfJ3hGs6D"]
     assert secrets.scan_secrets(odd, RANKS, public_tokenizers.PATTERN).count() == len(ODD)
     assert secrets.scan_secrets(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def tokens_by_hand(run, ranks):
+    """Tokens of a run after the usual cut, by merging the lowest rank again and again."""
+    import regex
+
+    count = 0
+    for stretch in regex.findall(public_tokenizers.PATTERN, run):
+        parts = [bytes([b]) for b in stretch.encode()]
+        while len(parts) > 1:
+            ranked = [(ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            rank, i = min(ranked)
+            if rank == 1 << 60:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        count += len(parts)
+    return count
+
+
+def test_planted_keys_by_an_independent_token_test(spark):
+    """Whole runs between blanks: random keys are found, words are not, and both as a merge by hand says."""
+    import random
+    import string
+
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    draw = random.Random(9)
+    rows, planted = [], {}
+    for i in range(120):
+        size = draw.choice([16, 18, 20, 24, 40])
+        key = "".join(draw.choice(string.ascii_letters + string.digits) for _ in range(size))
+        rows.append((i, f"some words in front {key} and understanding behind"))
+        planted[i] = (20, 20 + size, size < secrets.RATIO * tokens_by_hand(key, ranks))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = 0
+    for r in secrets.scan_secrets(frame, RANKS, public_tokenizers.PATTERN).collect():
+        start, end, random_one = planted[r.doc_id]
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        if random_one and not any(k != "random" for k, _, _ in spans):
+            assert ("random", start, end) in spans
+        assert all(start <= s and e <= end for _, s, e in spans)
+        found += bool(spans)
+    assert found >= 108
