@@ -106,8 +106,11 @@ def _visits(cells: Cells, reach: DataFrame) -> DataFrame:
     return reach.mapInPandas(go, "msg_id bigint, vector array<double>, reach double, cell int")
 
 
-def _meet(cells: Cells, visits: DataFrame, kernel, schema: str, block_rows: int) -> DataFrame:
-    """Runs ``kernel(visitors, residents)`` for each (cell, piece, visitor share)."""
+def _meet(cells: Cells, visits: DataFrame, kernel, schema: str, block_rows: int, of_row: DataFrame | None = None) -> DataFrame:
+    """Runs ``kernel(visitors, residents)`` for each (cell, piece, visitor share).
+
+    Columns of ``of_row`` (``msg_id, ...``) join both sides; residents have them as ``its_...``.
+    """
     visits = cut_lineage(visits)
     shares = {
         row["cell"]: -(-row["n"] // block_rows)
@@ -124,6 +127,10 @@ def _meet(cells: Cells, visits: DataFrame, kernel, schema: str, block_rows: int)
     ).withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.get(share_table, F.col("cell")) - 1))
     )
+    if of_row is not None:
+        guests = guests.join(of_row, "msg_id")
+        theirs = [F.col(c).alias("id" if c == "msg_id" else f"its_{c}") for c in of_row.columns]
+        residents = residents.join(of_row.select(*theirs), "id")
     place = ["cell", "piece", "share"]
     return guests.groupBy(*place).cogroup(residents.groupBy(*place)).applyInPandas(kernel, schema)
 
@@ -285,6 +292,15 @@ def core_distances(
     return counted.withColumn("upto", upto).filter(F.col("upto") >= min_samples).groupBy("msg_id").agg(F.min("distance").alias("core"))
 
 
+def named_groups(rows: DataFrame, placed: DataFrame, min_cluster_size: int) -> DataFrame:
+    """``msg_id, labels``: groups of ``placed`` (``vector, _copies, component``) by size, largest first; small ones are -1."""
+    sizes = placed.groupBy("component").agg(F.sum("_copies").alias("_size"))
+    large = sizes.filter(F.col("_size") >= min_cluster_size).withColumn("_order", -F.col("_size"))
+    named = with_rank(large, ["_order", "component"], "labels").select("component", F.col("labels").cast("int").alias("labels"))
+    labelled = placed.join(named, "component").select("vector", "labels")
+    return rows.join(labelled, "vector", "left").select("msg_id", F.coalesce("labels", F.lit(-1)).alias("labels"))
+
+
 def density_clusters(
     points: DataFrame,
     epsilon: float = 0.5,
@@ -316,11 +332,7 @@ def density_clusters(
     if min_samples:
         placed = placed.join(dense, F.col("_first") == F.col("_core"), "left_semi")
     placed = placed.select("vector", "_copies", F.coalesce("component", "_first").alias("component"))
-    sizes = placed.groupBy("component").agg(F.sum("_copies").alias("_size"))
-    large = sizes.filter(F.col("_size") >= min_cluster_size).withColumn("_order", -F.col("_size"))
-    named = with_rank(large, ["_order", "component"], "labels").select("component", F.col("labels").cast("int").alias("labels"))
-    labelled = placed.join(named, "component").select("vector", "labels")
-    return rows.join(labelled, "vector", "left").select("msg_id", F.coalesce("labels", F.lit(-1)).alias("labels"))
+    return named_groups(rows, placed, min_cluster_size)
 
 
 def label_distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

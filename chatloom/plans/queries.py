@@ -13,7 +13,7 @@ from chatloom.operators import clusters as C
 from chatloom.operators import descent
 from chatloom.operators import neighbors as N
 from chatloom.operators import prepare as P
-from chatloom.operators import sampling, terms, timeline, tokens, unigram, vectors
+from chatloom.operators import reachability, sampling, terms, timeline, tokens, unigram, vectors
 from chatloom.operators import windows as W
 from chatloom.operators.profile import cluster_profile, describe_topics
 from chatloom.plans import jobs
@@ -348,6 +348,13 @@ def core_density_clusters(spark, sf_dir):
     return N.density_clusters(S.vectors_with_labels(spark, sf_dir), 1.15, min_samples=3)
 
 
+@query
+def reachability_tree_cut(spark, sf_dir):
+    """The same clusters, cut from the spanning tree of mutual reachability."""
+    points = S.vectors_with_labels(spark, sf_dir)
+    return reachability.cut_tree(points, *reachability.reachability_tree(points, 3), 1.15)
+
+
 @query
 def neighbor_descent(spark, sf_dir):
     return descent.neighbor_descent(S.vectors_with_labels(spark, sf_dir), 15)

@@ -3,6 +3,7 @@ import pytest
 
 from chatloom.operators import descent
 from chatloom.operators import neighbors as N
+from chatloom.operators import reachability
 from chatloom.operators import sampling
 
 
@@ -64,6 +65,46 @@ def test_core_distances_keep_bridges_out(spark):
     assert {r.labels for r in N.density_clusters(points, 1e-6, min_samples=30).collect()} == {-1}
 
 
+def prim(x, min_samples):
+    """Sorted link lengths of the spanning tree over different vectors, copies counted in core distances."""
+    gaps = np.linalg.norm(x[:, None] - x[None], axis=2)
+    core = np.sort(gaps, axis=1)[:, min(min_samples, len(x) - 1)]
+    first = np.unique(x, axis=0, return_index=True)[1]
+    mutual = np.maximum(np.maximum(gaps, core[:, None]), core)[np.ix_(first, first)]
+    best, out, inside = mutual[0].copy(), [], np.zeros(len(first), bool)
+    inside[0] = True
+    while not inside.all():
+        nearest = np.where(inside, np.inf, best).argmin()
+        out.append(best[nearest])
+        inside[nearest] = True
+        best = np.minimum(best, mutual[nearest])
+    return np.sort(out)
+
+
+@pytest.mark.parametrize("min_samples", [1, 4])
+def test_reachability_tree_equals_prim_and_cuts_like_the_clusters(spark, min_samples):
+    draw = np.random.default_rng(8)
+    x = np.vstack([draw.standard_normal((60, 2)) * s + c for s, c in ((0.1, (0, 0)), (0.6, (5, 0)), (2.0, (0, 30)))])
+    x = np.vstack([x, x[:25], np.repeat(x[70:71], 7, axis=0), np.array([[i, -9.0] for i in range(12)])])  # copies and ties
+    points = frame(spark, x)
+    nodes, links = reachability.reachability_tree(points, min_samples, pivots=5, block_rows=100)
+    found = links.collect()
+    want = prim(x, min_samples)
+    assert len(found) == len(want) and np.allclose(sorted(r.distance for r in found), want, rtol=1e-12, atol=1e-12)
+    assert N.connected_components(links).select("component").distinct().count() == 1
+    for epsilon in (0.15, 0.7, 3.0):
+        cut = {r.msg_id: r.labels for r in reachability.cut_tree(points, nodes, links, epsilon).collect()}
+        assert [cut[i] for i in range(len(x))] == labels_by_hand(x, epsilon, min_samples, 5)
+
+
+def test_reachability_tree_of_few_rows(spark):
+    for x, count in ((np.zeros((0, 3)), 0), (np.ones((4, 3)), 0), (np.eye(3), 2)):
+        points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "msg_id bigint, vector array<double>")
+        nodes, links = reachability.reachability_tree(points, 5)
+        assert links.count() == count and nodes.count() == len(np.unique(x, axis=0))
+        assert reachability.cut_tree(points, nodes, links, 2.0, 2).count() == len(x)
+
+
 def test_samples_and_splits_do_not_move_all_rows(spark):
     rows = spark.range(3_000).withColumnRenamed("id", "msg_id").withColumn("text", sampling.F.lit("x")).repartition(7)
     ranked = sorted((r[0], r[1]) for r in sampling._drawn(rows, ["msg_id"], 21635).select("_draw", "msg_id").collect())
