@@ -12,6 +12,8 @@ from chatloom.functions import text
 from chatloom.operators.ordering import with_next
 from chatloom.session import cut_lineage
 
+BLOCK_TOPICS = 500  # topics of one term that are multiplied with each other under one key
+
 
 def default_stop_words() -> list[str]:
     """French and English words, plain and capitalised, each also with the word mark."""
@@ -118,18 +120,31 @@ def topic_labels(weighted: DataFrame, by: str = "n", count: int = 5) -> DataFram
     )
 
 
-def topic_similarity(weighted: DataFrame, by: str = "n") -> DataFrame:
+def topic_similarity(weighted: DataFrame, by: str = "n", block_topics: int = BLOCK_TOPICS) -> DataFrame:
     """Cosine of every two topics that share a term (the others are 0).
 
-    The rows of this table are topics and terms, not messages; products are summed inside each task
-    before they are shuffled.
+    A sparse product in blocks: the topics of a term are dealt into pieces of about ``block_topics``, and each pair
+    of pieces is a join key of its own, so no key yields many more than ``block_topics`` squared products however
+    many topics use a term. Each pair of topics is multiplied once and mirrored at the end.
     """
-    left = weighted.select("term", F.col("labels").alias("labels_a"), F.col(by).cast("double").alias("a"))
-    right = weighted.select("term", F.col("labels").alias("labels_b"), F.col(by).cast("double").alias("b"))
-    norms = weighted.groupBy("labels").agg(F.sqrt(F.sum(F.col(by).cast("double") * F.col(by))).alias("norm"))
-    dots = left.join(right, "term").groupBy("labels_a", "labels_b").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    value = F.col(by).cast("double")
+    pieces = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("term")) / block_topics).cast("int")
+    dealt = weighted.select("term", "labels", value.alias("value"), pieces.alias("pieces"))
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("labels"), F.col("pieces")).cast("int"))
+    # a row as the smaller piece of a pair, and as the larger one
+    left = dealt.select("term", F.col("labels").alias("l"), F.col("value").alias("a"), F.col("piece").alias("p"),
+                        F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("q"))
+    right = dealt.select("term", F.col("labels").alias("r"), F.col("value").alias("b"), F.col("piece").alias("q"),
+                         F.explode(F.sequence(F.lit(0), "piece")).alias("p"))
+    met = left.join(right, ["term", "p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("l") <= F.col("r")))
+    dots = met.groupBy(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    sides = F.when(F.col("l") == F.col("r"), F.array(F.struct(F.col("l").alias("labels_a"), F.col("r").alias("labels_b")))).otherwise(
+        F.array(F.struct(F.col("l").alias("labels_a"), F.col("r").alias("labels_b")), F.struct(F.col("r").alias("labels_a"), F.col("l").alias("labels_b")))
+    )
+    both = dots.select("dot", F.inline(sides))
+    norms = weighted.groupBy("labels").agg(F.sqrt(F.sum(value * value)).alias("norm"))
     return (
-        dots.join(norms.select(F.col("labels").alias("labels_a"), F.col("norm").alias("norm_a")), "labels_a")
+        both.join(norms.select(F.col("labels").alias("labels_a"), F.col("norm").alias("norm_a")), "labels_a")
         .join(norms.select(F.col("labels").alias("labels_b"), F.col("norm").alias("norm_b")), "labels_b")
         .select("labels_a", "labels_b", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("similarity"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom import schema
-from chatloom.operators import clusters, neighbors, prepare, sampling, terms, timeline, tokens, unigram, vectors, windows
+from chatloom.operators import clusters, neighbors, prepare, sampling, spectral, terms, timeline, tokens, unigram, vectors, windows
 from chatloom.operators.profile import cluster_profile, describe_topics
 from chatloom.session import cut_lineage, ready
 from chatloom.sources import readers, writers
@@ -260,7 +260,7 @@ def layout_parameters(
     if limit:
         stats = sampling.smallest(stats, ["published_datetime", "msg_id"], limit)
     dimension = stats.select(F.size("vector")).first()[0]
-    sweep = vectors.layout_sweep(
+    sweep = spectral.spectral_sweep(
         stats, dimension, schema.SWEEP_SCALES, schema.SWEEP_NEIGHBORS, schema.SWEEP_MIN_DISTS, channel, date
     )
     writers.write_stage(sweep, out_path, by_channel=False)

@@ -13,7 +13,7 @@ from chatloom.operators import clusters as C
 from chatloom.operators import descent
 from chatloom.operators import neighbors as N
 from chatloom.operators import prepare as P
-from chatloom.operators import reachability, sampling, terms, timeline, tokens, unigram, vectors
+from chatloom.operators import reachability, sampling, spectral, terms, timeline, tokens, unigram, vectors
 from chatloom.operators import windows as W
 from chatloom.operators.profile import cluster_profile, describe_topics
 from chatloom.plans import jobs
@@ -219,6 +219,11 @@ def tokens_by_channel(spark, sf_dir):
     return tokens.word_uses_by_channel(rows, cut_lineage(tokens.word_vocabulary(rows)))
 
 
+@query
+def tokens_by_use(spark, sf_dir):
+    return tokens.ranked_uses(tokens_by_channel(spark, sf_dir))
+
+
 @query
 def decode_tokens(spark, sf_dir):
     rows, vocabulary = encoded(spark, sf_dir)
@@ -332,6 +337,18 @@ def layout_sweep(spark, sf_dir):
     return vectors.layout_sweep(rows, 64, SWEEP_SCALES, SWEEP_NEIGHBORS, SWEEP_MIN_DISTS, "all", "2024-01")
 
 
+@query
+def spectral_layout(spark, sf_dir):
+    return spectral.spectral_layout(S.vectors_with_labels(spark, sf_dir), 15)
+
+
+@query
+def spectral_sweep(spark, sf_dir):
+    """Two values of each axis over all messages; the job runs the whole grid on one broadcast."""
+    rows = clustered(spark, sf_dir).select("msg_id", "published_datetime", "vector")
+    return spectral.spectral_sweep(rows, 64, [0, 3600], [5, 10], [0.1, 0.8], "all", "2024-01")
+
+
 @query
 def knn_graph(spark, sf_dir):
     rows = S.vectors_with_labels(spark, sf_dir)

@@ -8,7 +8,9 @@ from tests.oracle_check import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
 #: Trained and randomly started models; their tests hold them to invariants, or to exact results by recall.
-NOT_IN_SQL = {"neighbor_descent", "hashed_vectors", "pca_coords", "layout_sweep", "super_clusters", "topic_model", "unigram_vocab", "encode_unigram"}
+NOT_IN_SQL = {
+    "neighbor_descent", "spectral_layout", "spectral_sweep", "hashed_vectors", "pca_coords", "layout_sweep", "super_clusters", "topic_model", "unigram_vocab", "encode_unigram",
+}
 
 
 def test_every_query_has_its_sql(spark):

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,23 @@ def test_weighting_and_description(spark):
     same = {(r.labels_a, r.labels_b): r.similarity for r in terms.topic_similarity(counts).collect()}
     assert same[(0, 0)] == pytest.approx(1.0) and same[(0, 1)] == pytest.approx(same[(1, 0)])
     assert terms.topic_labels(counts).filter("labels = 1").first().terms == "dort / noir / noir dort"
+
+
+@pytest.mark.parametrize("block", [1, 3, 500])
+def test_similarity_of_topics_that_share_a_term(spark, block):
+    draw = np.random.default_rng(3)
+    table = draw.integers(0, 4, (17, 6))
+    table[:, 0] = 1 + draw.integers(0, 3, 17)  # one term in all topics
+    rows = [(int(t), f"w{w}", int(n)) for t, line in enumerate(table) for w, n in enumerate(line) if n]
+    counts = spark.createDataFrame(rows, "labels int, term string, n bigint")
+    found = {(r.labels_a, r.labels_b): r.similarity for r in terms.topic_similarity(counts, block_topics=block).collect()}
+    unit = table / np.linalg.norm(table, axis=1)[:, None]
+    assert len(found) == 17 * 17
+    assert all(value == pytest.approx(unit[a] @ unit[b]) for (a, b), value in found.items())
+    assert terms.topic_similarity(counts.limit(0)).count() == 0
+
+
+def test_uses_in_order(spark):
+    counts = spark.createDataFrame([("a", 5, "x", 2), ("a", 6, "y", 9), ("a", 4, "b", 2), ("c", 5, "x", 1)], "channel string, input_ids int, tokens string, size bigint")
+    ranks = {(r["channel"], r["tokens"]): r["rank"] for r in tokens.ranked_uses(counts).collect()}
+    assert ranks == {("a", "y"): 1, ("a", "b"): 2, ("a", "x"): 3, ("c", "x"): 1}
