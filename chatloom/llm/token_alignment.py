@@ -24,6 +24,7 @@ import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,12 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.base import per_process, shared_folder, stored, whole_texts
 from chatloom.llm.files import WholeFile, place
-from chatloom.llm.pieces import Memo
 
 #: Characters of text that are encoded at once (one longer text goes alone).
 BATCH_CHARS = 2_000_000
 CHUNK_PAIRS = 1_000_000
 HELD_CHUNKS = 8
 HELD_LINKS = 4_000_000
-HELD_PAIRS = 1_000_000
 #: A failed step up to this size is searched entry by entry.
 LINEAR = 4
 SPACE = "▁"
@@ -88,11 +87,12 @@ class TokenizerPair:
             self.a_bytes[n] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(n) for n in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(n) else p.replace(SPACE, " ").encode() for n, p in enumerate(pieces)]
-        self.one_to_one = Memo("%d|%d".__mod__, HELD_PAIRS)
+        self.a_texts, self.b_texts = id_texts(len(self.a_bytes), "|"), id_texts(len(self.b_bytes), ";")
         self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both for each text; none for both where the bytes are not those of the space and the text."""
+        none = np.zeros(0, np.int64)
         slow = [n for n, t in enumerate(texts) if self.a_fast is None or BEYOND_LATIN.search(t)]
         by_library = dict(zip(slow, (e.ids for e in self.a.encode_batch_fast([" " + texts[n] for n in slow], add_special_tokens=False))))
         a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
@@ -103,7 +103,7 @@ class TokenizerPair:
                 a = self.a_fast.encode_ordinary(" " + text)  # ranks of all bytes: tiktoken drops and changes none
             else:
                 same = same and b"".join(map(a_bytes, a)) == raw
-            yield (a, b) if same else ([], [])
+            yield (np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))) if same else (none, none)
 
 
 def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], list[tuple[int, int, int, int, int]]]:
@@ -154,15 +154,23 @@ def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], l
     return a_links, b_links, stretches
 
 
-def group_text(a: list[int], b: list[int], stretches: list[tuple[int, int, int, int, int]], one_to_one: dict) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group; ``one_to_one`` writes a pair of ids."""
-    out, written = [], one_to_one.__getitem__
-    for i, i_end, j, j_end, n in stretches:
-        if n > 1 or i_end - i == j_end - j == 1:
-            out += map(written, zip(a[i:i_end], b[j:j_end]))
-        else:
-            out.append(",".join(map(str, a[i:i_end])) + "|" + ",".join(map(str, b[j:j_end])))
-    return ";".join(out)
+def id_texts(size: int, last: str) -> tuple[np.ndarray, np.ndarray]:
+    """Each id below ``size`` with the comma that follows it in its group, and with ``last``, which ends its side."""
+    return tuple(np.array([f"{n}{sign}" for n in range(size)], object) for sign in (",", last))
+
+
+def group_text(a: np.ndarray, b: np.ndarray, stretches: list[tuple[int, int, int, int, int]], a_texts: tuple, b_texts: tuple) -> str:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group, from the two :func:`id_texts` (``|`` and ``;``)."""
+    i, i_end, j, j_end, n = np.fromiter(chain.from_iterable(stretches), np.int64, 5 * len(stretches)).reshape(-1, 5).T
+    a_sizes = np.repeat(np.where(n > 1, 1, i_end - i), n)  # of each group; a stretch of several holds one-to-one ones
+    b_sizes = np.repeat(np.where(n > 1, 1, j_end - j), n)
+    a_upto, b_upto = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    a_words, b_words = a_texts[0][a], b_texts[0][b]
+    a_words[a_upto - 1], b_words[b_upto - 1] = a_texts[1][a[a_upto - 1]], b_texts[1][b[b_upto - 1]]
+    words = np.empty(len(a) + len(b), object)
+    words[np.arange(len(a)) + np.repeat(b_upto - b_sizes, a_sizes)] = a_words
+    words[np.arange(len(b)) + np.repeat(a_upto, b_sizes)] = b_words
+    return "".join(words.tolist())[:-1]
 
 
 def packed_links(keys: np.ndarray) -> bytes:
@@ -192,13 +200,13 @@ def unpacked_links(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def aligned_documents(docs: DataFrame, a_path: str, b_path: str, ranks: tuple[str, str] | None = None) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, groups_sha256`` and the packed ``links`` of every row, stored."""
 
-    def one(pair: TokenizerPair, a: list[int], b: list[int]) -> tuple:
-        if not a:
+    def one(pair: TokenizerPair, a: np.ndarray, b: np.ndarray) -> tuple:
+        if not len(a):
             return 0, 0, 0, 0, "", None
-        a_ids, b_ids = np.array(a, np.uint64), np.array(b, np.uint64)
-        a_links, b_links, stretches = align(np.cumsum(pair.a_size[a_ids]).tolist(), np.cumsum(pair.b_size[b_ids]).tolist())
-        keys = a_ids[np.array(a_links, np.int64)] << np.uint64(24) | b_ids[np.array(b_links, np.int64)]
-        digest = hashlib.sha256(group_text(a, b, stretches, pair.one_to_one).encode()).hexdigest()
+        a_links, b_links, stretches = align(np.cumsum(pair.a_size[a]).tolist(), np.cumsum(pair.b_size[b]).tolist())
+        keys = a[np.fromiter(a_links, np.int64, len(a_links))] << 24 | b[np.fromiter(b_links, np.int64, len(b_links))]
+        keys = keys.view(np.uint64)
+        digest = hashlib.sha256(group_text(a, b, stretches, pair.a_texts, pair.b_texts).encode()).hexdigest()
         return len(a), len(b), sum(s[4] for s in stretches), len(a_links), digest, packed_links(keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -249,3 +249,25 @@ def test_toxicity_query_scores_every_document(spark):
     clean = [r.predicted for r in rows if r.held_out and truth.get(r.doc_id) == 0]
     found = [r.predicted for r in rows if r.held_out and truth.get(r.doc_id) == 1]
     assert len(rows) == 1_000 and np.mean(clean) <= 0.05 and np.mean(found) >= 0.5
+
+
+def test_group_texts_are_written_from_tables_of_ids():
+    import random
+
+    import numpy as np
+
+    from chatloom.llm import token_alignment as T
+
+    draw = random.Random(5)
+    a_texts, b_texts = T.id_texts(60, "|"), T.id_texts(60, ";")
+    for _ in range(200):
+        ends = sorted(draw.sample(range(1, 80), draw.randint(1, 40)))
+        a_ends, b_ends = (sorted({*draw.sample(ends, draw.randint(1, len(ends))), ends[-1]}) for _ in "ab")
+        a, b = (np.array([draw.randrange(60) for _ in side], np.int64) for side in (a_ends, b_ends))
+        _, _, stretches = T.align(a_ends, b_ends)
+        groups, start = [], 0
+        for end in sorted({*a_ends} & {*b_ends}):
+            sides = ([str(n) for n, at in zip(ids, at_ends) if start < at <= end] for ids, at_ends in ((a, a_ends), (b, b_ends)))
+            groups.append("|".join(map(",".join, sides)))
+            start = end
+        assert T.group_text(a, b, stretches, a_texts, b_texts) == ";".join(groups)
