@@ -72,6 +72,42 @@ def test_unigram_training_and_encoding(spark, texts):
     assert unknown.input_ids.count(2) == 1
 
 
+def test_words_side_by_side_have_the_counts_of_all_their_splits():
+    pieces = sorted(["a", "b", "n", "s", "an", "na", "ana", "ban", "nas", "\U0001f600"])
+    logs = {p: math.log((k + 2) / 60) for k, p in enumerate(pieces)}
+    words, counts = ["banana", "ananas", "b", "nab", "as\U0001f600", "xa", "bananabanana"], np.array([3, 2, 5, 1, 4, 7, 1])
+    trie, nodes = unigram.piece_trie(pieces)
+    scores = unigram.node_scores(trie, nodes, np.array([logs[p] for p in pieces]))
+
+    def splits(word):
+        if not word:
+            return [[]]
+        return [[word[:k], *rest] for k in range(1, len(word) + 1) if word[:k] in logs for rest in splits(word[k:])]
+
+    expected, likelihood, taken = dict.fromkeys(pieces, 0.0), 0.0, dict.fromkeys(pieces, 0)
+    for word, count in zip(words, counts.tolist()):
+        chances = [math.exp(sum(logs[p] for p in split)) for split in splits(word)]
+        if chances:
+            likelihood += count * math.log(sum(chances))
+        for split, chance in zip(splits(word), chances):
+            for piece in split:
+                expected[piece] += count * chance / sum(chances)
+        for piece in unigram.best_path(word, logs, 3, -30.0):
+            if piece in taken:
+                taken[piece] += count
+    sums, uses, found = np.zeros(len(scores)), np.zeros(len(scores), np.int64), 0.0
+    for at, codes in unigram.same_size(words):
+        found += unigram.add_expected(codes, counts[at], trie, scores, sums)
+        unigram.add_uses(codes, counts[at], trie, scores, -30.0, uses)
+    assert found == pytest.approx(likelihood)
+    assert sums[nodes] == pytest.approx([expected[p] for p in pieces])
+    assert uses[nodes].tolist() == [taken[p] for p in pieces]
+    lost = unigram.losses(nodes, np.full(len(nodes), 2), trie, scores, -30.0)
+    for piece, loss in zip(pieces, lost):
+        other = unigram.best_path(piece, logs, 3, -30.0, skip=piece)
+        assert loss == pytest.approx(2 * (logs[piece] - sum(logs[p] for p in other)) if len(piece) > 1 else 0.0)
+
+
 def test_best_path_picks_the_likeliest_split():
     logs = {"a": -3.0, "b": -3.0, "ab": -4.0, "c": -1.0}
     assert unigram.best_path("abc", logs, 2, -20.0) == ["ab", "c"]
