@@ -53,6 +53,22 @@ def test_suffix_arrays_prefixes_and_repeats(seed):
         assert sorted(places.tolist()) == [i for i in range(n - depth + 1) if found[raw[i : i + depth]] > 1]
 
 
+@pytest.mark.parametrize("bits", [3, 21])
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_arrays_of_either_width_rank_whole_depths(monkeypatch, seed, bits):
+    monkeypatch.setattr(suffix_arrays, "PLACE_BITS", bits)  # with 3 bits all but the smallest texts take the wide sort
+    draw = np.random.default_rng(seed)
+    for _ in range(60):
+        n, depth = int(draw.integers(0, 60)), int(draw.integers(9, 30))
+        text = np.tile(draw.integers(97, 99, max(1, n // 3)).astype(np.uint8), 6)[:n]
+        array, ranks = suffix_arrays.suffix_array(text, depth)
+        heads = [text[k : k + depth].tobytes() for k in range(n)]
+        assert [heads[k] for k in array] == sorted(heads) and sorted(array.tolist()) == list(range(n))
+        assert ranks.tolist() == [sum(other < head for other in heads) for head in heads]
+    changes = suffix_arrays._changes(np.array([4, 4, 5, 5, 5]))
+    assert changes.tolist() == [True, False, True, False, False, True]
+
+
 def removed(rows, length=50):
     """Brute force of the removal contract; rows of one id do not count for each other."""
     by_id = defaultdict(list)
