@@ -24,7 +24,6 @@ import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,14 +105,15 @@ class TokenizerPair:
             yield (np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))) if same else (none, none)
 
 
-def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], list[tuple[int, int, int, int, int]]]:
-    """Links as two lists of token places, and stretches ``(i, i_end, j, j_end, groups)``.
+def walked(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Stretches ``i, i_end, j, j_end, groups``, one behind the other, and the links of irregular groups by side.
 
     A stretch is either a run of one-to-one groups (``groups`` of them) or one irregular group. Both arrays
     rise and end at the same offset.
     """
     n, i, j = len(a_ends), 0, 0
-    a_links, b_links, stretches = [], [], []
+    stretches, a_odd, b_odd = [], [], []
+    add, a_add, b_add = stretches.extend, a_odd.append, b_odd.append
     while i < n:
         i0, j0, step = i, j, 1
         while i < n and a_ends[i : i + step] == b_ends[j : j + step]:
@@ -131,53 +131,78 @@ def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], l
             i += 1
             j += 1
         if i > i0:
-            stretches.append((i0, i, j0, j, i - i0))
-            a_links += range(i0, i)
-            b_links += range(j0, j)
+            add((i0, i, j0, j, i - i0))
             if i == n:
                 break
         i0, j0, x, y = i, j, a_ends[i], b_ends[j]
         while x != y:
-            a_links.append(i)
-            b_links.append(j)
+            a_add(i)
+            b_add(j)
             if x < y:
                 i += 1
                 x = a_ends[i]
             else:
                 j += 1
                 y = b_ends[j]
-        a_links.append(i)
-        b_links.append(j)
+        a_add(i)
+        b_add(j)
         i += 1
         j += 1
-        stretches.append((i0, i, j0, j, 1))
+        add((i0, i, j0, j, 1))
+    return stretches, a_odd, b_odd
+
+
+def linked_places(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links as two arrays of token places, and the stretches of :func:`walked`, a row each."""
+    flat, a_odd, b_odd = walked(a_ends, b_ends)
+    stretches = np.array(flat, np.int64).reshape(-1, 5)
+    i, i_end, j, j_end, n = stretches.T
+    odd = (i_end - i != n) | (j_end - j != n)
+    links = np.where(odd, i_end - i + j_end - j - 1, n)  # an irregular group: one for each end in it
+    ahead = np.cumsum(links) - links
+    places, merged = np.arange(int(links.sum())), np.repeat(odd, links)
+    a_links, b_links = (places + np.repeat(first - ahead, links) for first in (i, j))
+    a_links[merged], b_links[merged] = a_odd, b_odd
     return a_links, b_links, stretches
 
 
+def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], list[tuple[int, int, int, int, int]]]:
+    """:func:`linked_places` as lists."""
+    a_links, b_links, stretches = linked_places(a_ends, b_ends)
+    return a_links.tolist(), b_links.tolist(), [tuple(s) for s in stretches.tolist()]
+
+
 def id_texts(size: int, last: str) -> tuple[np.ndarray, np.ndarray]:
-    """Each id below ``size`` with the comma that follows it in its group, and with ``last``, which ends its side."""
-    return tuple(np.array([f"{n}{sign}" for n in range(size)], object) for sign in (",", last))
+    """Each id below ``size`` with the comma that follows it in its group, and with ``last``, which ends its side.
+
+    Texts are filled up with zeros to 8 bytes and held as numbers; ids have 24 bits, those beyond 7 digits are not known.
+    """
+    if size > 10_000_000:
+        raise ValueError("ids of more than 7 digits")
+    return tuple(np.array([f"{n}{sign}" for n in range(size)], "S8").view(np.uint64) for sign in (",", last))
 
 
-def group_text(a: np.ndarray, b: np.ndarray, stretches: list[tuple[int, int, int, int, int]], a_texts: tuple, b_texts: tuple) -> str:
+def group_text(a: np.ndarray, b: np.ndarray, stretches: np.ndarray, a_texts: tuple, b_texts: tuple) -> str:
     """``a1,a2|b1;a3|b2,b3``: the ids of each group, from the two :func:`id_texts` (``|`` and ``;``)."""
-    i, i_end, j, j_end, n = np.fromiter(chain.from_iterable(stretches), np.int64, 5 * len(stretches)).reshape(-1, 5).T
+    i, i_end, j, j_end, n = np.asarray(stretches, np.int64).reshape(-1, 5).T
     a_sizes = np.repeat(np.where(n > 1, 1, i_end - i), n)  # of each group; a stretch of several holds one-to-one ones
     b_sizes = np.repeat(np.where(n > 1, 1, j_end - j), n)
     a_upto, b_upto = np.cumsum(a_sizes), np.cumsum(b_sizes)
     a_words, b_words = a_texts[0][a], b_texts[0][b]
     a_words[a_upto - 1], b_words[b_upto - 1] = a_texts[1][a[a_upto - 1]], b_texts[1][b[b_upto - 1]]
-    words = np.empty(len(a) + len(b), object)
+    words = np.empty(len(a) + len(b), np.uint64)
     words[np.arange(len(a)) + np.repeat(b_upto - b_sizes, a_sizes)] = a_words
     words[np.arange(len(b)) + np.repeat(a_upto, b_sizes)] = b_words
-    return "".join(words.tolist())[:-1]
+    return words.tobytes().translate(None, b"\0")[:-1].decode()
 
 
 def packed_links(keys: np.ndarray) -> bytes:
     """Distinct sorted pair keys as differences by bytes of equal weight, and how often each stands, compressed."""
     import zstandard
 
-    distinct, counts = np.unique(keys, return_counts=True)
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    distinct, counts = keys[at], np.diff(np.r_[at, len(keys)])
     gaps = np.diff(distinct, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T[:6]
     few = np.minimum(counts, 255).astype(np.uint8)
     many = counts[counts >= 255].astype("<u4")
@@ -203,11 +228,10 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str, ranks: tuple[st
     def one(pair: TokenizerPair, a: np.ndarray, b: np.ndarray) -> tuple:
         if not len(a):
             return 0, 0, 0, 0, "", None
-        a_links, b_links, stretches = align(np.cumsum(pair.a_size[a]).tolist(), np.cumsum(pair.b_size[b]).tolist())
-        keys = a[np.fromiter(a_links, np.int64, len(a_links))] << 24 | b[np.fromiter(b_links, np.int64, len(b_links))]
-        keys = keys.view(np.uint64)
+        a_links, b_links, stretches = linked_places(np.cumsum(pair.a_size[a]).tolist(), np.cumsum(pair.b_size[b]).tolist())
+        keys = (a[a_links] << 24 | b[b_links]).view(np.uint64)
         digest = hashlib.sha256(group_text(a, b, stretches, pair.a_texts, pair.b_texts).encode()).hexdigest()
-        return len(a), len(b), sum(s[4] for s in stretches), len(a_links), digest, packed_links(keys)
+        return len(a), len(b), int(stretches[:, 4].sum()), len(a_links), digest, packed_links(keys)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = per_process(("tokenizer pair", a_path, b_path, ranks), lambda: TokenizerPair(a_path, b_path, ranks))

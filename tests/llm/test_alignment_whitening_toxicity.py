@@ -271,3 +271,16 @@ def test_group_texts_are_written_from_tables_of_ids():
             groups.append("|".join(map(",".join, sides)))
             start = end
         assert T.group_text(a, b, stretches, a_texts, b_texts) == ";".join(groups)
+
+
+def test_links_and_group_texts_are_made_of_whole_stretches():
+    import numpy as np
+
+    from chatloom.llm import token_alignment as T
+
+    a_links, b_links, stretches = T.linked_places([1, 3, 4, 6, 9, 10], [1, 2, 5, 6, 9, 10])
+    assert a_links.tolist() == [0, 1, 1, 2, 3, 3, 4, 5] and b_links.tolist() == [0, 1, 2, 2, 2, 3, 4, 5]
+    assert stretches.tolist() == [[0, 1, 0, 1, 1], [1, 4, 1, 4, 1], [4, 6, 4, 6, 2]]
+    a, b = np.array([0, 199_999, 10, 7, 5, 100_000]), np.array([3, 99_999, 0, 99, 2, 1])
+    text = T.group_text(a, b, stretches, T.id_texts(200_000, "|"), T.id_texts(100_000, ";"))
+    assert text == "0|3;199999,10,7|99999,0,99;5|2;100000|1"
