@@ -80,6 +80,10 @@ class Memo(dict):
         self.pop(key, None)
         self.old.pop(key, None)
 
+    def empty(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:

@@ -13,6 +13,7 @@ is encoded whole; work is n log n in the longest segment. Other columns of the i
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -27,6 +28,7 @@ SHIFT = 40
 LEFT = (1 << SHIFT) - 1
 NONE, GONE = (1 << 30) - 1, (1 << 30) - 2
 PART_MEMO, SEGMENT_MEMO = 1_000_000, 500_000
+CALL_ROWS = 1_000  # texts a worker holds normalised at a time
 
 
 def agenda_encode(part: str, model: PieceModel) -> tuple[int, ...]:
@@ -123,6 +125,12 @@ class Codec:
                 right = False
         return right
 
+    def release(self) -> None:
+        """Gives the memory of the memos back; they fill again as texts come."""
+        self.parts.empty()
+        self.segments.empty()
+        gc.collect()  # freed tuples wait in free lists until then, and pin the blocks around them
+
     def agrees(self, normalized: str) -> bool:
         return not self.wrong or self.wrong.keys().isdisjoint(self.model.segments(normalized))
 
@@ -152,8 +160,15 @@ def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256, agrees`` in one pass, ids never leaving the worker."""
+def round_trip(docs: DataFrame, model_path: str, keep_memos: bool = True) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, agrees`` in one pass, ids never leaving the worker.
+
+    Without ``keep_memos`` a worker gives its memos back at the end of a task: an idle one lives on for a minute,
+    beside whatever runs next on its executor.
+    """
+
+    def done() -> None:
+        per_process(("codec", model_path), lambda: Codec(model_path)).release()
 
     def run(batch: dict) -> dict:
         codec = per_process(("codec", model_path), lambda: Codec(model_path))
@@ -175,10 +190,11 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
         return out | {"agrees": [codec.agrees(t) for t in normalized]}
 
     return map_batches(
-        whole_texts(docs), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, agrees boolean"
+        whole_texts(docs), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, agrees boolean",
+        CALL_ROWS, None if keep_memos else done,
     )
 
 
-def encoding_summary(docs: DataFrame, model_path: str) -> DataFrame:
+def encoding_summary(docs: DataFrame, model_path: str, keep_memos: bool = True) -> DataFrame:
     """Digest columns of :func:`round_trip` for every row of ``documents``."""
-    return round_trip(docs, model_path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.col("agrees"))
+    return round_trip(docs, model_path, keep_memos).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.col("agrees"))
